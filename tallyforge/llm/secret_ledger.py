@@ -126,7 +126,8 @@ def to_paths(versions: DataFrame, findings: DataFrame, salts: int = SALTS) -> Da
     """Findings per blob joined back to every row of ``versions`` (with ``blob``).  The blob of a
     very large group of copies is salted: its few findings are repeated, its rows are dealt out."""
     salted = findings.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = versions.withColumn("_salt", F.floor(F.rand(11) * salts).cast("int"))
+    spread = [F.col(f"`{c}`") for c, kind in versions.dtypes if kind in ("bigint", "int", "string")]
+    rows = versions.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     return rows.join(salted, ["blob", "_salt"], "left").drop("_salt")
 
 
