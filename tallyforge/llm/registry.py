@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, packing, quality, secret_ledger
+from . import mixing, neardup, packing, quality, secret_ledger, substring_dedup
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_mixing": mixing.op6_mixing,
     "op7_quality": quality.op7_quality,
     "op10_secrets": secret_ledger.op10_secrets,
 }
 SQL = {
+    "op4_substring_dedup": substring_dedup.SQL,
     "op5_near_duplicates": neardup.SQL,
     "op6_mixing": mixing.SQL,
     "op7_quality": quality.SQL,
