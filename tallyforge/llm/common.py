@@ -59,6 +59,9 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: For terms: all ASCII but letters and digits parts them.
+NOT_TERM = np.ones(256, bool)
+NOT_TERM[48:58] = NOT_TERM[65:91] = NOT_TERM[97:123] = NOT_TERM[128:] = False
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -88,7 +91,7 @@ class WordBatch:
     ``first``: for each row, its first word (length rows + 1).  Null rows have no words.
     """
 
-    def __init__(self, text: pa.Array):
+    def __init__(self, text: pa.Array, space: np.ndarray = _SPACE):
         if isinstance(text, pa.ChunkedArray):
             text = text.combine_chunks()
         if not pa.types.is_string(text.type):
@@ -104,7 +107,7 @@ class WordBatch:
             data = np.frombuffer(buf, np.uint8)[offsets[0] : offsets[-1]] if buf is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
             offsets = offsets - offsets[0]
         self.data, self.offsets = data, offsets
-        space = _SPACE[data]
+        space = space[data]
         edge = np.zeros(len(data) + 1, bool)  # a word can't go on over these
         edge[offsets] = True
         begin = ~space

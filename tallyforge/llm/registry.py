@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, packing, quality, secret_ledger, substring_dedup
+from . import mixing, neardup, packing, quality, secret_ledger, substring_dedup, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_mixing": mixing.op6_mixing,
