@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, packing, quality, secret_ledger, substring_dedup, toxicity
+from . import mixing, neardup, neighbours, packing, quality, secret_ledger, substring_dedup, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_mixing": mixing.op6_mixing,
     "op7_quality": quality.op7_quality,
+    "op9_neighbours": neighbours.op9_neighbours,
     "op10_secrets": secret_ledger.op10_secrets,
 }
 SQL = {
