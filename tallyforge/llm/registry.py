@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, neighbours, packing, quality, secret_ledger, substring_dedup, toxicity
+from . import html_text, mixing, neardup, neighbours, packing, quality, secret_ledger, substring_dedup, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_html_text": html_text.op3_html_text,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_mixing": mixing.op6_mixing,
