@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, mixing, neardup, neighbours, packing, quality, secret_ledger, substring_dedup, toxicity
+from . import html_text, mixing, neardup, neighbours, packing, pitman_yor, quality, secret_ledger, substring_dedup, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_mixing": mixing.op6_mixing,
     "op7_quality": quality.op7_quality,
+    "op8_lm_scores": pitman_yor.op8_lm_scores,
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_secrets": secret_ledger.op10_secrets,
 }
