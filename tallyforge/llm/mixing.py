@@ -95,17 +95,21 @@ def mix(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """
     plan = mix_plan(docs, key=key, **options).where("copies > 0")
     text, source = options.get("text", "text"), options.get("source", "source")
-    twin = Window.partitionBy("_k", "_s", "_z").orderBy("_z")
     plan = plan.select(F.col("doc_id").alias("_k"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copies").alias("_c"))
-    plan = plan.groupBy("_k", "_s", "_z").agg(F.sort_array(F.collect_list("_c"), asc=False).alias("_cs"))
+    plan = stash(plan.groupBy("_k", "_s", "_z").agg(F.sort_array(F.collect_list("_c"), asc=False).alias("_cs")), "plan")
     keyed = docs.withColumns({"_k2": F.col(key), "_s2": F.col(source), "_z2": word_count(F.col(text))})
-    twin = Window.partitionBy("_k2", "_s2", "_z2").orderBy("_z2")
-    met = keyed.join(plan, keyed["_k2"].eqNullSafe(plan["_k"]) & keyed["_s2"].eqNullSafe(plan["_s"]) & (keyed["_z2"] == plan["_z"]))
-    met = met.withColumn("_n", F.when(F.size("_cs") == 1, F.lit(1)).otherwise(F.lit(0)))
-    single = met.where("_n = 1").withColumn("_t", F.col("_cs")[0])
-    several = met.where("_n = 0").withColumn("_i", F.row_number().over(twin)).withColumn("_t", F.coalesce(F.get("_cs", F.col("_i") - 1), F.lit(0))).drop("_i")
-    both = single.unionByName(several).where("_t > 0")
-    return both.withColumn("_e", F.explode(F.array_repeat(F.lit(1), F.col("_t").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+    def met(part: DataFrame) -> DataFrame:
+        part = part.hint("shuffle_hash")
+        return keyed.join(part, F.col("_k2").eqNullSafe(F.col("_k")) & F.col("_s2").eqNullSafe(F.col("_s")) & (F.col("_z2") == F.col("_z")))
+
+    out = met(plan.where("size(_cs) = 1")).withColumn("_t", F.col("_cs")[0])
+    twins = plan.where("size(_cs) > 1")
+    if twins.limit(1).count():
+        turn = Window.partitionBy("_k2", "_s2", "_z2").orderBy("_z2")
+        several = met(twins).withColumn("_i", F.row_number().over(turn)).withColumn("_t", F.coalesce(F.get("_cs", F.col("_i") - 1), F.lit(0))).drop("_i")
+        out = out.unionByName(several.where("_t > 0"))
+    return out.withColumn("_e", F.explode(F.array_repeat(F.lit(1), F.col("_t").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_mixing(spark, sf_dir):
