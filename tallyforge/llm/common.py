@@ -12,6 +12,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one Arrow batch; with Spark's byte limit it bounds a Python worker's memory.
@@ -51,6 +52,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def brief(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
+    """``df``, of counted ``rows`` of a few numbers each, broadcast in joins if they are ``most`` at most."""
+    return F.broadcast(df) if rows <= most else df
+
+
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE_LOWER = _BYTE.copy()

@@ -93,10 +93,10 @@ def mix(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
 
     Rows that share an id are told apart by their size and source; equal ones take turns.
     """
-    plan = mix_plan(docs, key=key, **options).where("copies > 0")
+    plan = mix_plan(docs, key=key, **options)
     text, source = options.get("text", "text"), options.get("source", "source")
     plan = plan.select(F.col("doc_id").alias("_k"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copies").alias("_c"))
-    plan = stash(plan.groupBy("_k", "_s", "_z").agg(F.sort_array(F.collect_list("_c"), asc=False).alias("_cs")), "plan")
+    plan = stash(plan.groupBy("_k", "_s", "_z").agg(F.sort_array(F.collect_list("_c"), asc=False).alias("_cs")).where("_cs[0] > 0"), "plan")
     keyed = docs.withColumns({"_k2": F.col(key), "_s2": F.col(source), "_z2": word_count(F.col(text))})
 
     def met(part: DataFrame) -> DataFrame:
