@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PROJECTIONS = 128
+PROJECTIONS = 96
 BLOCK = 8192
 QUERY_BLOCK = 4096
-SHARE = 0.3  # of a block, what is verified at least
+SHARE = 0.25  # of a block, what is verified at least
 LEAST = 1000  # vectors verified at least
 THRESHOLD = 0.5  # of all windows, in how many a vector must lie
-WIDEN = 1.2
+WIDEN = 1.08
 SEED = 97
 
 
@@ -36,38 +36,63 @@ def usable(v: Column) -> Column:
 
 
 class Block:
-    """Sorted projections of the vectors of one block."""
+    """Sorted projections of the vectors of one block, and the windows of a batch of queries."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, projections: int, seed: int):
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, longest: float, o: dict):
+        self.ids, self.vectors, self.o = ids, vectors, o
+        n, m = len(ids), o["projections"]
+        self.need = max(o["least"], math.ceil(o["share"] * n))
+        self.threshold = math.ceil(o["threshold"] * m)
         lift = np.sqrt(np.maximum(longest**2 - np.einsum("ij,ij->i", vectors, vectors), 0))
-        self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, projections))
-        spread = np.hstack([vectors, lift[:, None]]) @ self.directions
+        directions = np.random.default_rng(o["seed"]).standard_normal((vectors.shape[1] + 1, m))
+        spread = np.hstack([vectors, lift[:, None]]) @ directions
         order = np.argsort(spread, axis=0, kind="stable")
         self.sorted = np.take_along_axis(spread, order, axis=0).T.copy()
         places = np.empty_like(order)
-        np.put_along_axis(places, order, np.arange(len(ids))[:, None], axis=0)
-        self.places = places.T.astype(np.int32).copy()  # where each vector stands in each projection
-        self.width = float(np.median(spread.std(axis=0))) * 0.5 or 1.0
-        self.longest = longest
-
-    def candidates(self, query: np.ndarray, need: int, least: int, widen: float) -> np.ndarray:
-        """Vectors that collide in ``least`` windows, at the first width where ``need`` do."""
-        n = len(self.ids)
-        if need >= n:
-            return np.arange(n)
-        centre = (query * (self.longest / np.sqrt(query @ query))) @ self.directions[:-1]
-        half = self.width
+        np.put_along_axis(places, order, np.arange(n)[:, None], axis=0)
+        self.places = places.T.astype(np.uint16).copy()  # where each vector stands in each projection
+        length = np.sqrt(np.einsum("ij,ij->i", queries, queries))
+        self.centres = (queries * (longest / length)[:, None]) @ directions[:-1]
+        self.unit = float(np.median(spread.std(axis=0))) or 1.0
+        self._windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.start = 0
+        if self.need < n:  # rehashing starts near the radius that the first queries end at
+            ends = [self._radius(q) for q in range(min(8, len(queries)))]
+            self.start = int(np.median(ends)) - 1
+
+    def windows(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """First place and size of the window of each query in each projection."""
+        if radius not in self._windows:
+            half = self.unit * 0.5 * self.o["widen"] ** radius
+            low = np.stack([np.searchsorted(s, c - half, "left") for s, c in zip(self.sorted, self.centres.T, strict=True)], axis=1)
+            high = np.stack([np.searchsorted(s, c + half, "right") for s, c in zip(self.sorted, self.centres.T, strict=True)], axis=1)
+            self._windows[radius] = low.astype(np.uint16), (high - low).astype(np.uint16)
+        return self._windows[radius]
+
+    def _inside(self, query: int, radius: int) -> np.ndarray:
+        """Vectors that collide with the query in enough windows."""
+        low, size = (x[query][:, None] for x in self.windows(radius))
+        hits = np.zeros(len(self.ids), np.uint16)
+        for a in range(0, len(self.places), 16):
+            hits += ((self.places[a : a + 16] - low[a : a + 16]) < size[a : a + 16]).view(np.uint8).sum(axis=0, dtype=np.uint8)
+        return np.flatnonzero(hits >= self.threshold)
+
+    def _radius(self, query: int) -> int:
+        radius = 0
+        while len(self._inside(query, radius)) < self.need:
+            radius += 1
+        return radius
+
+    def candidates(self, query: int) -> np.ndarray:
+        """The vectors inside at the first radius where there are enough of them."""
+        if self.need >= len(self.ids):
+            return np.arange(len(self.ids))
+        radius = self.start
         while True:
-            low = np.array([np.searchsorted(s, c - half, "left") for s, c in zip(self.sorted, centre, strict=True)], np.int32)
-            high = np.array([np.searchsorted(s, c + half, "right") for s, c in zip(self.sorted, centre, strict=True)], np.int32)
-            hits = np.zeros(n, np.uint16)
-            for p, a, b in zip(self.places, low, high, strict=True):
-                hits += (p - a).view(np.uint32) < np.uint32(b - a)
-            found = np.flatnonzero(hits >= least)
-            if len(found) >= need:
+            found = self._inside(query, radius)
+            if len(found) >= self.need:
                 return found
-            half *= widen
+            radius += 1
 
 
 def _search(k: int, longest: float, o: dict):
@@ -84,17 +109,19 @@ def _search(k: int, longest: float, o: dict):
         ids, x = dense(rows)
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
-        block = Block(ids, x, longest, o["projections"], o["seed"])
-        need = max(o["least"], math.ceil(o["share"] * len(ids)))
+        asked, vectors = dense(queries)
+        block = Block(ids, x, vectors, longest, o)
+        single = x.astype(np.float32)
         out = [[], [], []]
-        for q, v in zip(*dense(queries), strict=True):
-            at = block.candidates(v, need, math.ceil(o["threshold"] * o["projections"]), o["widen"])
+        for i, (q, v) in enumerate(zip(asked, vectors, strict=True)):
+            at = block.candidates(i)
             at = at[ids[at] != q]
-            score = x[at] @ v
             if len(at) > k:
-                at_k = np.partition(score, len(score) - k)[len(score) - k]
-                keep = score >= at_k  # with all that tie
-                at, score = at[keep], score[keep]
+                # single precision tells which can't be among the best; its error is bounded
+                rough = single[at] @ v.astype(np.float32)
+                bound = np.partition(rough, len(at) - k)[len(at) - k]
+                at = at[rough >= bound - 1e-4 * longest * math.sqrt(v @ v)]
+            score = x[at] @ v
             best = np.lexsort((ids[at], -score))[:k]
             out[0].append(np.full(len(best), q))
             out[1].append(ids[at][best])
@@ -123,6 +150,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id
     d, n, longest = sizes[0]
     rows, queries = rows.where(F.size("v") == d), queries.where(F.size("v") == d)
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    if block > 1 << 15:
+        raise ValueError("a block's places must fit 16 bits")
     blocks, asked = math.ceil(n / block), max(1, math.ceil(queries.count() / query_block))
     deal = lambda count, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(count)).cast("int")
     # equal ids would meet in one block; the vector takes part in the hash of rows
