@@ -2,32 +2,42 @@
 
 A document's set of word shingles is hashed once; the hashes are dealt to ``BINS`` bins by
 their leading bits and each bin keeps its least.  An empty bin takes the value of the first
-filled bin in its own random order of bins (optimal densification).  Bands of ``ROWS`` bins
-give ``BINS / ROWS`` buckets a document.
+filled bin in its own random order of bins (optimal densification).  ``BANDS`` groups of
+``ROWS`` bins give a document's buckets.
 
 Documents with equal sets are one node from the start, so groups of copies cost nothing
-later.  In each bucket the least node is the centre of a star: only centre-member pairs are
-candidates, confirmed on full sets.  Where the confirmed links leave a bucket with more than
-one component, its next nodes become centres too (in growing steps), for pairs of different
+later.  In each bucket the node that shares most buckets with others is the centre of a star
+(a group's original rather than one of its variants); only centre-member pairs are candidates,
+confirmed on full sets.  Where the confirmed links leave a bucket with more than one
+component, its next nodes become centres too (in growing steps), for pairs of different
 components only, until every bucket is one component or all its pairs were compared: no link
-that shares a bucket is lost, and no bucket ever emits its pairs at once.
+that shares a bucket is lost, and no bucket ever emits its pairs at once.  Bitmaps of the sets
+bound how far two sets differ at least, which rules out most of these pairs inside the join.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordBatch, arrow_batches, mix, stash
+from .common import WordBatch, arrow_batches, brief, mix, stash
 
-BINS = 128
-ROWS = 4
+BINS = 256
+ROWS = 8
+BANDS = 64
 THRESHOLD = 80  # of 100
+CELLS = 2048
+STEP = 32  # how much faster centres are added from round to round
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _ORDER = np.stack([np.random.default_rng(1000 + j).permutation(BINS) for j in range(BINS)])
-_EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 7))
+_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - (BINS - 1).bit_length())
+#: Each bin stands in as many bands as it takes to fill all of them.
+_PICK = np.concatenate([np.random.default_rng(500 + i).permutation(BINS) for i in range(-(-BANDS * ROWS // BINS))])[: BANDS * ROWS].reshape(BANDS, ROWS)
 
 
 def shingle_sets(batch: WordBatch, words: int) -> list[np.ndarray]:
@@ -46,8 +56,9 @@ def shingle_sets(batch: WordBatch, words: int) -> list[np.ndarray]:
             out.append(np.unique(roll[a : b - words + 1]))
         elif b > a:
             x = np.uint64(b - a)
-            for v in h[a:b]:
-                x = x * _PAIR + v
+            with np.errstate(over="ignore"):
+                for v in h[a:b]:
+                    x = x * _PAIR + v
             out.append(mix(np.array([x], np.uint64) ^ _PAIR))
         else:
             out.append(np.zeros(0, np.uint64))
@@ -62,19 +73,32 @@ def signature(s: np.ndarray) -> np.ndarray:
     value = s[np.minimum(at, len(s) - 1)]
     if not full.all():
         empty = np.flatnonzero(~full)
-        donor = _ORDER[empty, np.argmax(full[_ORDER[empty]], axis=1)]
+        tried = full[_ORDER[empty, :16]]
+        donor = _ORDER[empty, np.argmax(tried, axis=1)]
+        late = np.flatnonzero(~tried.any(axis=1))
+        if len(late):
+            rest = _ORDER[empty[late]]
+            donor[late] = rest[np.arange(len(late)), np.argmax(full[rest], axis=1)]
         value[empty] = value[donor]
     return value
 
 
-def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    parts = sig.reshape(-1, rows)
-    out = np.arange(len(parts), dtype=np.uint64)
-    for j in range(rows):
+def bands(sig: np.ndarray) -> np.ndarray:
+    parts = sig[_PICK]
+    out = np.arange(BANDS, dtype=np.uint64)
+    for j in range(ROWS):
         out = mix(out * _PAIR + parts[:, j])
     return out
 
 
+def cells(s: np.ndarray) -> np.ndarray:
+    """A bitmap of the cells that a set's members fall into.  Two sets differ in as many
+    members at least as their bitmaps differ in bits."""
+    seen = np.zeros(CELLS, bool)
+    seen[(s & np.uint64(CELLS - 1)).astype(np.int64)] = True
+    return np.packbits(seen).view(np.int64)
+
+
 def _node(s: np.ndarray) -> int:
     """A hash of a whole sorted set."""
     with np.errstate(over="ignore"):
@@ -100,15 +124,15 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(node, set) of docs (doc_id, text): the whole set, as bytes."""
+    """(node, set, cells) of docs (doc_id, text): the whole set as bytes, and its bitmap."""
     arrow_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             sets = [s for s in shingle_sets(WordBatch(batch.column(1)), words) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([cells(s) for s in sets], pa.list_(pa.int64()))], names=["node", "set", "cells"])
 
-    return docs.mapInArrow(run, "node long, set binary")
+    return docs.mapInArrow(run, "node long, set binary, cells array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -129,28 +153,33 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """(node, comp) of all nodes in links (a, b); comp is the least node of the component.
+def components(links: DataFrame, name: str = "components") -> tuple[DataFrame, int]:
+    """(node, comp) of all nodes in links (a, b), and their number; comp is the least node of
+    the component.
 
     Each pass takes the least label around a node and then follows labels once (so long
-    chains shorten by half); every pass is a written table, and only a count comes back.
+    chains shorten by half); every pass is a written table, and only counts come back.
     """
     both = stash(links.union(links.select("b", "a")).toDF("a", "b").distinct(), name + "-links")
     now = stash(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "node"), name)
-    while True:
-        near = both.join(now, both["b"] == now["node"]).groupBy("a").agg(F.min("comp").alias("near"))
-        least = now.join(near, now["node"] == near["a"]).select("node", "comp", F.least("comp", "near").alias("next"))
-        jump = now.select(F.col("node").alias("next"), F.col("comp").alias("far"))
+    n = now.count()
+    while n:
+        label = brief(now, n)
+        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("comp").alias("near"))
+        least = near.join(label, near["a"] == label["node"]).select("node", "comp", F.least("comp", "near").alias("next"))
+        jump = brief(now.select(F.col("node").alias("next"), F.col("comp").alias("far")), n)
         # every label is a node of its component and so has a label of its own
         new = stash(least.join(jump, "next").select("node", F.least("next", "far").alias("comp"), (F.least("next", "far") < F.col("comp")).alias("moved")), name)
-        moved = new.where("moved").limit(1).count()
         now = new.select("node", "comp")
-        if not moved:
-            return now
+        if not new.where("moved").limit(1).count():
+            break
+    return now, n
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: doc_id, n_shingles, node, component_id, kept.
+
+    node: a hash of the row's set of shingles, null without any.
 
     component_id: the smallest doc_id that links reach, itself included; kept: whether that is
     the row's own.  Null and empty texts have no shingles and are linked with nothing; equal
@@ -163,50 +192,61 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD,
     nodes = seen.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = stash(nodes, "nodes")
     dealt = nodes.select(F.explode("bands").alias("bucket"), "node", "n")
-    shared = dealt.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket", "least")
-    members = stash(dealt.join(shared, "bucket"), "members")
+    shared = dealt.groupBy("bucket").agg(F.min("node").alias("c0"), F.max("node").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 < c1").select("bucket", "m")
+    met = stash(dealt.join(shared, "bucket"), "met")
+    popular = met.groupBy("node").agg(F.sum("m").alias("pop"))
+    members = stash(met.join(popular, "node").select("bucket", "node", "n", "pop"), "members")
 
     inner = nodes.join(members.select("node").distinct(), "node", "left_semi").select("first", "node")
     wanted = inner.select(F.col("first").alias("doc_id")).distinct().hint("shuffle_hash")
-    sets = _sets(docs.join(wanted, "doc_id", "left_semi"), words).groupBy("node").agg(F.first("set").alias("set"))
+    sets = _sets(docs.join(wanted, "doc_id", "left_semi"), words).groupBy("node").agg(F.first("set").alias("set"), F.first("cells").alias("cells"))
     sets = stash(sets.join(members.select("node").distinct(), "node", "left_semi"), "sets")
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold
 
-    centre = nodes.select(F.col("node").alias("least"), F.col("n").alias("na"))
-    star = members.where("node <> least").select("least", "node", F.col("n").alias("nb")).distinct()
-    pairs = star.join(centre, "least").where(fits).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    best = members.groupBy("bucket").agg(F.max(F.struct("pop", -F.col("node"), "n")).alias("x"))
+    best = best.select("bucket", (-F.col("x")["col2"]).alias("a"), F.col("x")["n"].alias("na"))
+    star = members.join(best, "bucket").where(F.col("node") != F.col("a")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), "na", F.col("n").alias("nb"))
+    pairs = star.where(fits).select("a", "b").distinct()
     links = stash(_confirmed(pairs, sets, threshold), "links")
-    comps = components(links)
+    comps, named = components(links)
 
-    low, high = 1, 8
-    rank = Window.partitionBy("bucket").orderBy("node")
-    members = members.select("bucket", "node", "n")
+    low, high = 1, STEP
+    rank = Window.partitionBy("bucket").orderBy(F.desc("pop"), "node")
     while True:
-        named = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        several = named.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).where((F.col("c0") < F.col("c1")) & (F.col("m") > low + 1)).select("bucket")
-        open_ = stash(named.join(several, "bucket").withColumn("rank", F.row_number().over(rank) - 1), "open")
-        if not open_.limit(1).count():
+        now = members.join(brief(comps, named), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        several = now.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).where((F.col("c0") < F.col("c1")) & (F.col("m") > low + 1))
+        several = stash(several.select("bucket"), "several")
+        buckets = several.count()
+        if not buckets:
             break
-        x = open_.where((F.col("rank") >= low) & (F.col("rank") < high)).select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("rank").alias("ra"))
-        y = open_.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("rank").alias("rb"))
-        pairs = x.join(y, "bucket").where((F.col("rb") > F.col("ra")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
-        fresh = stash(_confirmed(pairs, sets, threshold), "links")
-        if fresh.limit(1).count():
-            links = links.union(fresh)
-            comps = components(links)
-        members = open_.select("bucket", "node", "n")  # a bucket of one component stays so
-        low, high = high, high * 8
-
-    labelled = nodes.select("node", "first").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        open_ = now.join(brief(several, buckets), "bucket").withColumn("rank", F.row_number().over(rank) - 1)
+        if "cells" not in open_.columns:
+            open_ = open_.join(sets.select("node", "cells"), "node")
+        open_ = stash(open_, "open")
+        x = open_.where((F.col("rank") >= low) & (F.col("rank") < high)).select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("rank").alias("ra"), F.col("cells").alias("xa"))
+        y = open_.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("rank").alias("rb"), F.col("cells").alias("xb"))
+        apart = reduce(add, [F.bit_count(F.col("xa")[i].bitwiseXOR(F.col("xb")[i])) for i in range(CELLS // 64)])
+        near = (100 + threshold) * apart <= (100 - threshold) * (F.col("na") + F.col("nb"))
+        pairs = stash(x.join(y, "bucket").where((F.col("rb") > F.col("ra")) & (F.col("ca") != F.col("cb")) & fits & near).select("a", "b").distinct(), "pairs")
+        count = pairs.count()
+        if count:
+            fresh = stash(_confirmed(brief(pairs, count), sets, threshold), "links")
+            if fresh.limit(1).count():
+                links = links.union(fresh)
+                comps, named = components(links)
+        members = open_.select("bucket", "node", "n", "pop", "cells")  # a bucket of one component stays so
+        low, high = high, high * STEP
+
+    labelled = nodes.select("node", "first").join(brief(comps, named), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = labelled.groupBy("comp").agg(F.min("first").alias("component_id"))
     labelled = labelled.join(smallest, "comp").select("node", "component_id")
     out = seen.select("doc_id", "n", "node").join(labelled, "node", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "node", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept"))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2).drop("node")
 
 
 SQL = r"""
