@@ -245,6 +245,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD,
     return out.select("doc_id", F.col("n").alias("n_shingles"), "node", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept"))
 
 
+def keep_one(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, that of the smallest id.
+
+    Of rows with equal id and equal set one stays; rows without shingles all stay.
+    """
+    found = stash(near_duplicates(docs, words, threshold, key, text), "kept")
+    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("any"))
+    once = ids.where("n = 1 and doc_id is not null and any").select(F.col("doc_id").alias("_id")).hint("shuffle_hash")
+    out = docs.join(once, docs[key] == once["_id"], "left_semi")
+    again = ids.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
+    if not again.limit(1).count():
+        return out
+    # ids that repeat: rows are told apart by their sets
+    rest = docs.join(again, docs[key].eqNullSafe(again["_id"]), "left_semi")
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            nodes = [_node(s) if len(s) else None for s in shingle_sets(WordBatch(batch.column(at)), words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, "_node"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    rest = rest.mapInArrow(run, f"{kinds}, _node long")
+    good = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("node").alias("_n")).distinct()
+    rest = rest.join(good, rest[key].eqNullSafe(good["_id"]) & rest["_node"].eqNullSafe(good["_n"]), "left_semi")
+    one = rest.where("_node is not null").dropDuplicates([key, "_node"])
+    return out.unionByName(one.unionByName(rest.where("_node is null")).drop("_node"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2).drop("node")
 
