@@ -31,6 +31,4 @@ def counts(stream: DataFrame, window: str = "1 hour", delay: str = "1 hour") ->
 
 def row_issues(stream: DataFrame, kind: str) -> DataFrame:
     """Violations of the rules on single rows of a table, as its rows arrive: no state."""
-    rows = ledger.typed(stream.where("ok"), kind)
-    codes = F.filter(F.array(*[F.when(F.expr(where), F.lit(code)) for code, k, where in ledger.FILTERS if k == kind]), lambda c: c.isNotNull())
-    return rows.select(F.explode(codes).alias("code"), F.lit(kind).alias("row_type"), F.col(ledger.KEYS[kind]).alias("row_id"))
+    return ledger.row_rules(ledger.typed(stream.where("ok"), kind), kind).drop("detail")
