@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PROJECTIONS = 96
+PROJECTIONS = 128
 BLOCK = 8192
 QUERY_BLOCK = 4096
-SHARE = 0.25  # of a block, what is verified at least
+SHARE = 0.3  # of a block, what is verified at least
 LEAST = 1000  # vectors verified at least
 THRESHOLD = 0.5  # of all windows, in how many a vector must lie
-WIDEN = 1.08
+WIDEN = 1.2
 SEED = 97
 
 

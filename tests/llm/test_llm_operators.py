@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -469,6 +470,21 @@ def test_neighbours_find_most(spark):
     assert all(abs(r.score - np.dot(by[r.query_id], by[r.vec_id])) < 1e-12 for r in got)
 
 
+def test_neighbours_recall_on_a_full_block():
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 64))
+    x = centres[rng.integers(0, 40, neighbours.BLOCK)] + 1.5 * rng.standard_normal((neighbours.BLOCK, 64))
+    asked = np.arange(0, len(x), 40)
+    table = lambda i: pa.table({"vec_id": i, "v": pa.array(list(x[i]), pa.list_(pa.float64()))})
+    o = {"projections": neighbours.PROJECTIONS, "share": neighbours.SHARE, "least": neighbours.LEAST, "threshold": neighbours.THRESHOLD, "widen": neighbours.WIDEN, "seed": neighbours.SEED}
+    got = neighbours._search(20, float(np.sqrt((x**2).sum(axis=1)).max()), o)(table(np.arange(len(x))), table(asked))
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    want = {(int(q), int(i)) for q, r in zip(asked, score) for i in np.argsort(-r)[:20]}
+    found = set(zip(got.column("query_id").to_pylist(), got.column("vec_id").to_pylist()))
+    assert len(found & want) >= 0.98 * len(want)
+
+
 def test_neighbours_edges(spark):
     bad = float("nan")
     data = [(0, [1.0, 0.0], 9), (1, [1.0, 0.0], 9), (2, [1.0, 0.0], 9), (3, None, 9), (4, [0.0, 0.0], 9), (5, [bad, 1.0], 9), (6, [None, 1.0], 9), (7, [float("inf"), 1.0], 9), (8, [1.0], 9), (None, [1.0, 1.0], 9), (9, [-1.0, 0.5], 9), (1, [1.0, 0.0], 9)]
