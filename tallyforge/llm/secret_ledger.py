@@ -87,18 +87,20 @@ def scan(versions: DataFrame, rules: tuple = RULES, ledger: str | None = None, k
     ``ledger``: a folder that keeps which (blob, rule version) pairs were scanned and what was
     found; only unseen pairs are scanned, and the ledger grows by them.  Without it every
     pair is unseen.  A blob is scanned at one of its rows: the others are joined to it by
-    address, so no task ever gathers the copies of a text.
+    address, so no task ever gathers the copies of a text (but for those with the same key).
     """
     spark = versions.sparkSession
-    rows = content_address(versions.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body")), "body")
-    one = rows.groupBy("blob").agg(F.min("key").alias("key"))
+    # a struct is never null, so null keys compare as equal and are dealt like all others
+    rows = content_address(versions.select(F.struct(F.col(key).alias("id")).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body")), "body")
+    one = rows.groupBy("blob").agg(F.struct(F.min("key.id").alias("id")).alias("key"))
     seen = old = None
     if ledger and _exists(spark, f"{ledger}/scanned"):
         seen, old = spark.read.parquet(f"{ledger}/scanned"), spark.read.parquet(f"{ledger}/findings")
         known = seen.groupBy("blob").agg(F.collect_set("rule").alias("done"))
         one = one.join(known, "blob", "left").where(F.size(F.array_except(F.array(*[F.lit(r.id) for r in rules]), F.coalesce("done", F.array().cast("array<string>")))) > 0).select("blob", "key")
     one = one.hint("shuffle_hash")
-    picked = rows.join(one, (rows["blob"] == one["blob"]) & rows["key"].eqNullSafe(one["key"]), "left_semi")
+    # rows that repeat key and text are still several; they lie in one partition already
+    picked = rows.join(one, ["blob", "key"], "left_semi").dropDuplicates(["blob", "key"])
     found = scan_unseen(picked.select("blob", "body"), rules, seen).distinct()
     if not ledger:
         return found

@@ -542,6 +542,18 @@ def test_redaction(spark):
     assert "ABCDEF123456789" not in got[1] and "my token:short" in got[1] and got[11].endswith(" [SECRET]")
 
 
+def test_secrets_of_repeated_rows(spark):
+    data = [(1, SECRETS[0]), (1, SECRETS[0]), (None, SECRETS[1]), (None, SECRETS[1]), (None, SECRETS[1]), (2, SECRETS[3]), (None, SECRETS[3])]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = secret_ledger.secrets(df).collect()
+    assert len(got) == len(data)
+    for r in got:
+        assert [(s.start, s.o, s.end, s.kind) for s in r.found if s.o < 3] == brute_base(r.text), r.text
+    redacted = Counter((r.doc_id, r.text) for r in secret_ledger.redact(df).collect())
+    assert redacted[1, "[SECRET]' end"] == 2 and sum(redacted.values()) == len(data)
+    assert not any("ABCDEF123456789" in t or "deadbeef" in t for _, t in redacted)
+
+
 def test_secrets_edges(clash, empty):
     assert secret_ledger.secrets(empty).count() == 0 and secret_ledger.redact(empty).count() == 0
     out = secret_ledger.redact(clash)
