@@ -1,29 +1,35 @@
 """Language-model scores by a hierarchical Pitman-Yor model over words.
 
-The restaurant of a context (a class of the preceding word, by its last two bytes, or the
-start of a text) serves words; all context restaurants share one parent, the restaurant of
-words without context, whose own parent is uniform over the known words and one unknown.
-Customers of a context are its tokens in the training texts; each of its tables is a customer
-of the parent.  Table counts are sampled by Gibbs sweeps (each pair of context and word is
-seated anew given its parent's current probability, in blocks that grow with the count), and
-what the predictive probability needs of them is averaged over the sweeps after the burn-in:
-
-    p(w | u) = (c_uw - d t_uw + (a + d T_u) p(w)) / (a + C_u)
+The restaurant of a context (the preceding word by its 64-bit hash, or the start of a text)
+serves words.  Its parent is the restaurant of the context's class (the preceding word's last
+two bytes), all classes share one parent, the restaurant of words without context, and the
+parent of that is uniform over the known words and one unknown.  Customers of a context are
+its tokens in the training texts; each table is a customer of the parent.  Table counts are
+sampled by Gibbs sweeps (each pair is seated anew given its parent's current probability, in
+blocks that grow with the count), and what the predictive probability needs of them is
+averaged over the sweeps after the burn-in:
+
+    p(w | u) = (c_uw - d t_uw + (a + d T_u) p(w | class of u)) / (a + C_u)
+    p(w | c) = (k_cw - d t_cw + (a + d T_c) p(w)) / (a + K_c)
     p(w)     = (k_w - d0 t_w + (a0 + d0 T) / (V + 1)) / (a0 + K)
 
-The numerators' first terms and the table totals are means over sweeps, so the averaged
+The numerators' first terms and the totals are means over sweeps, so the averaged
 probabilities add up to one over the known words and the unknown.
 
 Chunks of documents send their distinct (word, context) pairs with training counts to shards
-by word; a shard holds all contexts of its words, so it seats both levels alone and needs of
-the others only the tables per context, which it takes to be in proportion.  The totals used
-for scoring are exact sums over shards.  Answers go back to their chunks, which score every
+by word; a shard holds all contexts of its words, so it seats all levels alone.  Of the others
+it needs totals, which are exact sums over shards before each sweep: of classes and the root
+through the driver, of contexts at the shard that owns the context as a word (which so knows
+C_u, the word's count, as well).  A pair of one customer has one table forever; only pairs of
+more are seated and reported again.  Answers go back to their chunks, which score every
 token of every text.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import uuid
 import zlib
 
 import numpy as np
@@ -32,10 +38,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import answered, chunk_table, one_row_batches, pack_arrays, unpack_arrays, unpack_stream
-from .common import WordBatch, mix, stash
+from .common import WordBatch, mix, shared_dir, stash
 
-CONTEXTS = 1024
-DISCOUNT, STRENGTH = 0.8, 5.0  # of contexts
+CLASSES = 1024
+DISCOUNT, STRENGTH = 0.8, 5.0  # of contexts and classes
 DISCOUNT0, STRENGTH0 = 0.8, 5.0  # of their parent
 SWEEPS, BURN_IN = 5, 2
 CHUNKS_PER_SHARD = 6
@@ -43,8 +49,14 @@ SEED = 23
 _END = np.uint64(0x5BD1E9955BD1E995)
 
 
+def owner(words: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each word; it grows with the hash."""
+    return ((words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
 class Tokens:
-    """The tokens of a chunk: hash, context and row of each, end tokens included."""
+    """The tokens of a chunk: hash, row and class (as a context of the next) of each, end tokens
+    included.  The context of a token is the one before it, of the first of a text an end token."""
 
     def __init__(self, text: pa.Array):
         b = WordBatch(text)
@@ -60,11 +72,9 @@ class Tokens:
         last = d[b.ends - 1] if len(h) else np.zeros(0, np.uint8)
         former = np.where(b.ends - b.starts > 1, d[np.maximum(b.ends - 2, 0)], 0) if len(h) else last
         fold = lambda x: np.where((x >= 65) & (x <= 90), x + 32, x).astype(np.uint64)
-        kind = (mix((fold(former) << np.uint64(8)) | fold(last)) % np.uint64(CONTEXTS - 1)).astype(np.int64) + 1
-        after = np.zeros(n, np.int64)  # what a token's class is to the next one
-        after[~is_end] = kind
-        self.context = np.zeros(n, np.int64)  # 0: the start of a text
-        self.context[1:] = np.where(is_end[:-1], 0, after[:-1])
+        kind = (mix((fold(former) << np.uint64(8)) | fold(last)) % np.uint64(CLASSES - 1)).astype(np.int64) + 1
+        self.kind = np.zeros(n, np.int64)  # 0: the start of a text
+        self.kind[~is_end] = kind
         self.counts = b.counts + 1
 
 
@@ -73,15 +83,19 @@ class Request:
 
     def __init__(self, tokens: Tokens, training: np.ndarray):
         self.words, word = np.unique(tokens.hash, return_inverse=True)
-        key = word.astype(np.int64) * CONTEXTS + tokens.context
+        n = max(1, len(self.words))
+        self.kind = np.zeros(n, np.int64)
+        self.kind[word] = tokens.kind
+        end = np.searchsorted(self.words, _END)
+        key = word.astype(np.int64) * n + np.concatenate([[end], word[:-1]])[: len(word)]
         self.pairs, self.of = np.unique(key, return_inverse=True)
-        self.word_of = self.pairs // CONTEXTS
+        self.word_of, self.context_of = self.pairs // n, self.pairs % n
         self.count = np.bincount(self.of, weights=training[tokens.row], minlength=len(self.pairs)).astype(np.uint32)
         self.edges = np.searchsorted(self.word_of, np.arange(len(self.words) + 1))
 
     def parts(self, shards: int):
         """(shard, from word, to word) of the shards' stretches."""
-        of = ((self.words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+        of = owner(self.words, shards)
         cut = np.flatnonzero(np.diff(of)) + 1
         edge = np.concatenate([[0], cut, [len(of)]])
         return [(int(of[a]), int(a), int(b)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
@@ -94,6 +108,11 @@ def _chunk(body, folds: int, held: int):
     return docs, Tokens(docs.column(1)), out
 
 
+def small(x: np.ndarray) -> np.ndarray:
+    """Counts in the fewest bytes."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
 def _send(shards: int, folds: int, held: int):
     def run(batches):
         for batch in batches:
@@ -104,7 +123,8 @@ def _send(shards: int, folds: int, held: int):
                 for s, a, b in r.parts(shards):
                     x, y = r.edges[a], r.edges[b]
                     w = r.words[a:b]
-                    blob = pack_arrays(np.diff(w, prepend=np.uint64(0)), np.diff(r.edges[a : b + 1]).astype(np.uint16), (r.pairs[x:y] % CONTEXTS).astype(np.uint16), r.count[x:y])
+                    u, at = np.unique(r.context_of[x:y], return_inverse=True)
+                    blob = pack_arrays(np.diff(w, prepend=np.uint64(0)), np.diff(r.edges[a : b + 1]).astype(np.uint32), np.diff(r.words[u], prepend=np.uint64(0)), r.kind[u].astype(np.uint16), small(at), small(r.count[x:y]))
                     rows.append((s, chunk, blob))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["shard", "chunk", "blob"])
@@ -128,64 +148,210 @@ def seat(count: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.
     return tables
 
 
+class Totals:
+    """Sums over all shards: words known, tables and customers of the root and of each class."""
+
+    def __init__(self, x: np.ndarray):
+        self.tokens, self.known, self.root, self.customers = x[:4]
+        self.laid, self.seated = x[4 : 4 + CLASSES], x[4 + CLASSES :]
+
+
+def totals(k, tables, kind, root, tokens) -> np.ndarray:
+    """What Totals takes, of one shard; ``tokens``: of each word."""
+    per = lambda x: np.bincount(kind, weights=x, minlength=CLASSES)
+    return np.concatenate([[tokens.sum(), (tokens > 0).sum(), root.sum(), tables.sum()], per(tables), per(k)])
+
+
+def root_p(customers, root, t: Totals, o: dict) -> np.ndarray:
+    return (customers - o["discount0"] * root + (o["strength0"] + o["discount0"] * t.root) / (t.known + 1)) / (o["strength0"] + t.customers)
+
+
+def class_p(k, tables, kind, p, t: Totals, o: dict) -> np.ndarray:
+    """``p``: the root's probability of the pair's word."""
+    return (k - o["discount"] * tables + (o["strength"] + o["discount"] * t.laid[kind]) * p) / (o["strength"] + t.seated[kind])
+
+
+def seat_upper(k, word, kind, p, n_words: int, t: Totals, rng, o: dict):
+    """Tables of the pairs of word and class with ``k`` customers, and of the root."""
+    tables = seat(k, (o["strength"] + o["discount"] * t.laid[kind]) * p[word], o["discount"], rng)
+    customers = np.bincount(word, weights=tables, minlength=n_words).astype(np.int64)
+    root = seat(customers, np.full(n_words, (o["strength0"] + o["discount0"] * t.root) / (t.known + 1)), o["discount0"], rng)
+    return tables, customers, root
+
+
 def gibbs(word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words: int, times: int, rng: np.random.Generator, options: dict):
-    """Means over the sweeps after the burn-in: per pair c - d t, per word k - d0 t0; and sums:
-    tables per context, tables and customers of the parent.  ``times``: shards in all."""
-    d, a, d0, a0 = options["discount"], options["strength"], options["discount0"], options["strength0"]
-    total = np.bincount(word, weights=count, minlength=n_words)
-    known = max(1, int((total > 0).sum())) * times
+    """Both upper levels in one shard, with ``count`` customers of classes that stay.  Means over
+    the sweeps after the burn-in: per pair c - d t, per word k - d0 t0; and sums: tables per
+    class, tables and customers of the parent."""
+    if times != 1:
+        raise ValueError("the totals of several shards are summed by lm_scores")
     tables = (count > 0).astype(np.int64)
-    k = np.bincount(word, weights=tables, minlength=n_words)
-    root = (k > 0).astype(np.int64)
-    mean_a, mean_b = np.zeros(len(count)), np.zeros(n_words)
-    per_context, sums = np.zeros(CONTEXTS), np.zeros(2)
-    kept = 0
+    tokens = np.bincount(word, weights=count, minlength=n_words)
+    customers = np.bincount(word, weights=tables, minlength=n_words)
+    root = (customers > 0).astype(np.int64)
+    found = []
     for sweep in range(options["sweeps"]):
-        opened = root.sum() * times
-        p = (k - d0 * root + (a0 + d0 * opened) / (known + 1)) / (a0 + k.sum() * times)
-        laid = np.bincount(context, weights=tables, minlength=CONTEXTS) * times
-        tables = seat(count, (a + d * laid[context]) * p[word], d, rng)
-        k = np.bincount(word, weights=tables, minlength=n_words).astype(np.int64)
-        root = seat(k, np.full(n_words, (a0 + d0 * root.sum() * times) / (known + 1)), d0, rng)
+        t = Totals(totals(count, tables, context, root, tokens))
+        tables, customers, root = seat_upper(count, word, context, root_p(customers, root, t, options), n_words, t, rng, options)
         if sweep >= options["burn_in"]:
-            kept += 1
-            mean_a += count - d * tables
-            mean_b += k - d0 * root
-            per_context += np.bincount(context, weights=tables, minlength=CONTEXTS)
-            sums += (root.sum(), k.sum())
-    return mean_a / kept, mean_b / kept, per_context / kept, sums / kept
+            found.append((count - options["discount"] * tables, customers - options["discount0"] * root, np.bincount(context, weights=tables, minlength=CLASSES), np.array([root.sum(), customers.sum()])))
+    return tuple(np.mean([f[i] for f in found], axis=0) for i in range(4))
 
 
-def _seat_shard(shards: int, options: dict):
-    def run(table: pa.Table) -> pa.Table:
-        shard, chunks = table.column("shard")[0].as_py(), table.column("chunk").to_numpy()
-        parts = [unpack_arrays(b.as_buffer()) for b in table.column("blob")]
-        words = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-        distinct, at = np.unique(words, return_inverse=True)
+class Pairs:
+    """The pairs of a shard, from what chunks sent it: words, contexts, and pairs of word and class."""
+
+    def __init__(self, blobs: list):
+        parts = [unpack_arrays(b.as_buffer()) for b in blobs]
+        self.words, self.at = np.unique(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), return_inverse=True)
         per_word = np.concatenate([p[1] for p in parts]).astype(np.int64)
-        key = np.repeat(at, per_word).astype(np.int64) * CONTEXTS + np.concatenate([p[2] for p in parts])
-        pairs, of = np.unique(key, return_inverse=True)
-        count = np.bincount(of, weights=np.concatenate([p[3] for p in parts]), minlength=len(pairs)).astype(np.int64)
-        word, context = pairs // CONTEXTS, pairs % CONTEXTS
-        rng = np.random.default_rng([options["seed"], shard])
-        mean_a, mean_b, per_context, (root, customers) = gibbs(word, context, count, len(distinct), shards, rng, options)
-        total = np.bincount(word, weights=count, minlength=len(distinct)).astype(np.uint32)
-        stats = np.concatenate([[total.sum(dtype=np.int64), (total > 0).sum(), root, customers], per_context, np.bincount(context, weights=count, minlength=CONTEXTS)])
-        out, w, p = [], 0, 0
-        for part in parts:
-            nw, np_ = len(part[0]), len(part[2])
-            x, y = at[w : w + nw], of[p : p + np_]
-            out.append(pack_arrays(np.array([shard]), total[x], mean_b[x].astype(np.float32), mean_a[y].astype(np.float32)))
-            w, p = w + nw, p + np_
-        return pa.table({"chunk": pa.array([*chunks, -1], pa.int64()), "answer": pa.array([*out, None], pa.binary()), "stats": pa.array([None] * len(out) + [stats], pa.list_(pa.float64()))})
+        self.contexts, at = np.unique(np.concatenate([np.cumsum(p[2], dtype=np.uint64) for p in parts]), return_inverse=True)
+        kind = np.zeros(len(self.contexts), np.int64)
+        kind[at] = np.concatenate([p[3] for p in parts])
+        first = np.cumsum([0, *[len(p[2]) for p in parts]])
+        context = at[np.concatenate([p[4].astype(np.int64) + f for p, f in zip(parts, first, strict=False)])]
+        self.sizes = [(len(p[0]), len(p[4])) for p in parts]
+        key, self.of = np.unique(np.repeat(self.at, per_word).astype(np.int64) * len(self.contexts) + context, return_inverse=True)
+        self.count = np.bincount(self.of, weights=np.concatenate([p[5] for p in parts]), minlength=len(key)).astype(np.int64)
+        self.word, self.context = key // len(self.contexts), key % len(self.contexts)
+        mids, self.mid = np.unique(self.word * CLASSES + kind[self.context], return_inverse=True)
+        self.mid_word, self.mid_kind = mids // CLASSES, mids % CLASSES
+        self.tokens = np.bincount(self.word, weights=self.count, minlength=len(self.words)).astype(np.int64)
+        self.many = np.flatnonzero(self.count > 1)
+        self.single = np.bincount(self.mid, weights=self.count == 1, minlength=len(mids)).astype(np.int64)
+
+
+_MAIL = "shard long, sender long, tag string, blob binary, stats array<double>"
+
+
+def _mail(rows: list) -> pa.Table:
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.float64()))
+    names = ("shard", "sender", "tag", "blob", "stats")
+    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
+
+
+def _to_owners(shard: int, shards: int, tag: str, contexts: np.ndarray, *numbers: np.ndarray) -> list:
+    """Numbers of contexts (in order of hash) to the shards that own the contexts."""
+    if not len(contexts):
+        return []
+    of = owner(contexts, shards)
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]])
+    return [(int(of[a]), shard, tag, pack_arrays(np.diff(contexts[a:b], prepend=np.uint64(0)), *[small(x[a:b]) for x in numbers]), None) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def _letters(table: pa.Table) -> dict:
+    """By tag, the contents in order of sender."""
+    out: dict[str, list] = {}
+    for sender, tag, blob in sorted(zip(table.column("sender").to_pylist(), table.column("tag").to_pylist(), table.column("blob"), strict=True), key=lambda r: r[:2]):
+        if blob.is_valid:
+            out.setdefault(tag, []).append((sender, unpack_arrays(blob.as_buffer())))
+    return out
+
+
+def _joined(letters: list, i: int) -> np.ndarray:
+    return np.concatenate([x[i] for _, x in letters]).astype(np.float64) if letters else np.zeros(0)
+
+
+def _open(shards: int):
+    """The first state of a shard: each pair has one table."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        order = np.argsort(table.column("chunk").to_numpy())
+        p = Pairs([table.column("blob")[int(i)] for i in order])
+        many_contexts, at = np.unique(p.context[p.many], return_inverse=True)
+        singles = np.bincount(p.context, weights=p.count == 1, minlength=len(p.contexts)).astype(np.int64)
+        several = np.bincount(p.context, weights=p.count > 1, minlength=len(p.contexts)).astype(np.int64)
+        state = pack_arrays(np.diff(p.contexts[many_contexts], prepend=np.uint64(0)), small(at), small(p.mid[p.many]), small(p.count[p.many]), small(p.single), small(p.mid_word), p.mid_kind.astype(np.uint16), small(p.tokens))
+        k = p.single + np.bincount(p.mid[p.many], minlength=len(p.mid_word))
+        tables = (k > 0).astype(np.int64)
+        root = (p.tokens > 0).astype(np.int64)
+        seen = np.flatnonzero(singles + several)
+        rows = [(shard, shard, "state", state, None), (-1, shard, "stats", None, totals(k, tables, p.mid_kind, root, p.tokens))]
+        return _mail(rows + _to_owners(shard, shards, "opened", p.contexts[seen], singles[seen], several[seen]))
 
     return run
 
 
-def _score(shards: int, folds: int, held: int, stats: np.ndarray, options: dict):
-    n, v, root, customers = stats[:4]
-    laid, seated = stats[4 : 4 + CONTEXTS], stats[4 + CONTEXTS :]
-    d, a, d0, a0 = options["discount"], options["strength"], options["discount0"], options["strength0"]
+def _sum(table: pa.Table) -> pa.Table:
+    """Letters to an owner, answered by the sums of each number over all that wrote; for contexts
+    of which the writer has a pair to seat."""
+    tag = table.column("tag")[0].as_py()
+    letters = _letters(table)[tag]
+    shard = table.column("shard")[0].as_py()
+    distinct, at = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for _, x in letters]), return_inverse=True)
+    sums = [np.bincount(at, weights=_joined(letters, i), minlength=len(distinct)).astype(np.int64) for i in range(1, len(letters[0][1]))]
+    out, done = [], 0
+    for sender, x in letters:
+        here = at[done : done + len(x[0])][x[-1] > 0]
+        done += len(x[0])
+        out.append((sender, shard, f"{tag} sums", pack_arrays(*[small(y[here]) for y in sums]), None))
+    return _mail(out)
+
+
+def _sweep(shards: int, sweep: int, g: np.ndarray, o: dict):
+    def run(state: pa.Table, mail: pa.Table) -> pa.Table:
+        shard = state.column("shard")[0].as_py()
+        letters = _letters(state) | _letters(mail)
+        hashes, at, mid, count, single, word, kind, tokens = (x.astype(np.int64) if i else x for i, x in enumerate(letters["state"][0][1]))
+        contexts = np.cumsum(hashes, dtype=np.uint64)
+        opened = letters.get("opened sums", [])
+        now = letters.get("tables")
+        if now:
+            many, tables, root = (x.astype(np.int64) for x in now[0][1])
+            laid = _joined(opened, 0) + _joined(letters.get("laid sums", []), 0)
+        else:
+            many, tables, root = np.ones(len(count), np.int64), None, (tokens > 0).astype(np.int64)
+            laid = _joined(opened, 0) + _joined(opened, 1)
+        k = single + np.bincount(mid, weights=many, minlength=len(word)).astype(np.int64)
+        tables = (k > 0).astype(np.int64) if tables is None else tables
+        customers = np.bincount(word, weights=tables, minlength=len(tokens))
+        t, rng = Totals(g), np.random.default_rng([o["seed"], shard, sweep])
+        p = root_p(customers, root, t, o)
+        parent = class_p(k, tables, kind, p[word], t, o)
+        many = seat(count, (o["strength"] + o["discount"] * laid[at]) * parent[mid], o["discount"], rng)
+        k = single + np.bincount(mid, weights=many, minlength=len(word)).astype(np.int64)
+        tables, customers, root = seat_upper(k, word, kind, p, len(tokens), t, rng, o)
+        rows = [(shard, shard, "tables", pack_arrays(small(many), small(tables), small(root)), None), (-1, shard, "stats", None, totals(k, tables, kind, root, tokens))]
+        return _mail(rows + _to_owners(shard, shards, "laid", contexts, np.bincount(at, weights=many, minlength=len(contexts)).astype(np.int64)))
+
+    return run
+
+
+def _answer(g: np.ndarray, kept: int, o: dict):
+    """Answers to the chunks: per word its count and tables as a context, per pair c - d t, per
+    pair of word and class its probability."""
+
+    def run(asked: pa.Table, mail: pa.Table) -> pa.Table:
+        shard = asked.column("shard")[0].as_py()
+        order = np.argsort(asked.column("chunk").to_numpy())
+        p = Pairs([asked.column("blob")[int(i)] for i in order])
+        letters = _letters(mail)
+        many, tables, root = (np.mean([x[i] for _, x in letters["tables"]], axis=0) for i in range(3))
+        laid = np.zeros(len(p.words))
+        for tag, share in (("opened", 1.0), ("laid", 1.0 / kept)):
+            for _, x in letters.get(tag, []):
+                laid[np.searchsorted(p.words, np.cumsum(x[0], dtype=np.uint64))] += x[1] * share
+        all_tables = (p.count > 0).astype(np.float64)
+        all_tables[p.many] = many
+        k = np.bincount(p.mid, weights=all_tables, minlength=len(p.mid_word))
+        customers = np.bincount(p.mid_word, weights=tables, minlength=len(p.words))
+        t = Totals(g)
+        parent = class_p(k, tables, p.mid_kind, root_p(customers, root, t, o)[p.mid_word], t, o).astype(np.float32)
+        own = (p.count - o["discount"] * all_tables).astype(np.float32)
+        out, w, q = [], 0, 0
+        for nw, np_ in p.sizes:
+            x, y = p.at[w : w + nw], p.of[q : q + np_]
+            out.append(pack_arrays(np.array([shard]), small(p.tokens[x]), laid[x].astype(np.float32), own[y], parent[np.unique(p.mid[y])]))
+            w, q = w + nw, q + np_
+        return pa.table({"chunk": asked.column("chunk").take(pa.array(order)), "answer": pa.array(out, pa.binary())})
+
+    return run
+
+
+def _score(shards: int, folds: int, held: int, g: np.ndarray, o: dict):
+    n, v = g[:2]
+    d, a = o["discount"], o["strength"]
 
     def run(batches):
         for batch in batches:
@@ -194,10 +360,10 @@ def _score(shards: int, folds: int, held: int, stats: np.ndarray, options: dict)
                 r = Request(tokens, ~out)
                 got = {int(x[0][0]): x for x in (unpack_arrays(y.as_buffer()) for y in answers.values)}
                 parts = [got[s] for s, _, _ in r.parts(shards)] if len(r.words) else []
-                total, b_, a_ = (np.concatenate([x[i] for x in parts]).astype(np.float64) for i in (1, 2, 3))
-                alone = (b_ + (a0 + d0 * root) / (v + 1)) / (a0 + customers)
-                u = r.pairs % CONTEXTS
-                p = (a_ + (a + d * laid[u]) * alone[r.word_of]) / (a + seated[u])
+                total, laid, own, parent = (np.concatenate([x[i] for x in parts]).astype(np.float64) for i in (1, 2, 3, 4))
+                u = r.context_of
+                parent = parent[np.unique(r.word_of * CLASSES + r.kind[u], return_inverse=True)[1]]
+                p = (own + (a + d * laid[u]) * parent) / (a + total[u])
                 row, word = tokens.row, r.word_of[r.of]
                 add = lambda x: np.bincount(row, weights=x, minlength=docs.num_rows)
                 score = add(np.log10(p)[r.of])
@@ -209,6 +375,21 @@ def _score(shards: int, folds: int, held: int, stats: np.ndarray, options: dict)
     return run
 
 
+def _by_shard(df: DataFrame) -> DataFrame:
+    """``df`` as a table bucketed by shard: it is read several times and never shuffled."""
+    spark, table = df.sparkSession, f"shards_{uuid.uuid4().hex}"
+    made = df.write.format("parquet").option("compression", "none").option("path", f"{shared_dir(spark)}/{table}")
+    made.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").saveAsTable(table)
+    return spark.table(table)
+
+
+def _summed(mail: DataFrame) -> np.ndarray:
+    out = np.zeros(4 + 2 * CLASSES)
+    for r in mail.where("tag = 'stats'").select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("x")).collect():
+        out[r[0]] = r[1]
+    return out
+
+
 def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, key: str = "doc_id", text: str = "text", discount: float = DISCOUNT, strength: float = STRENGTH, discount0: float = DISCOUNT0, strength0: float = STRENGTH0, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int = SEED) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score, perplexity.
@@ -223,14 +404,24 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, key: str = "doc_id
     options = {"discount": discount, "strength": strength, "discount0": discount0, "strength0": strength0, "sweeps": sweeps, "burn_in": burn_in, "seed": seed}
     chunks = chunk_table(docs, "scored")
     shards = max(1, math.ceil(chunks.count() / CHUNKS_PER_SHARD))
-    sent = one_row_batches(chunks, _send(shards, folds, held), "shard long, chunk long, blob binary")
-    seated = stash(sent.groupBy("shard").applyInArrow(_seat_shard(shards, options), "chunk long, answer binary, stats array<double>"), "seated")
-    found = seated.where("chunk = -1").select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("x")).collect()
-    stats = np.zeros(4 + 2 * CONTEXTS)
-    for r in found:
-        stats[r[0]] = r[1]
-    scored = answered(chunks, seated.where("chunk >= 0").select("chunk", "answer"))
-    return one_row_batches(scored, _score(shards, folds, held, stats, options), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    sent = _by_shard(one_row_batches(chunks, _send(shards, folds, held), "shard long, chunk long, blob binary"))
+    begun = _by_shard(sent.groupBy("shard").applyInArrow(_open(shards), _MAIL))
+    of = lambda mail, *tags: mail.where(F.col("tag").isin(*tags))
+    state = of(begun, "state")
+    fixed = stash(of(begun, "opened").groupBy("shard").applyInArrow(_sum, _MAIL), "sums")
+    known, g, kept, means = fixed, _summed(begun), [], []
+    for sweep in range(sweeps):
+        now = stash(state.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_sweep(shards, sweep, g, options), _MAIL), "swept")
+        g = _summed(now)
+        if sweep >= burn_in:
+            kept.append(of(now, "tables", "laid"))
+            means.append(g)
+        known = fixed.unionByName(of(now, "tables")).unionByName(of(now, "laid").groupBy("shard").applyInArrow(_sum, _MAIL))
+    g = np.mean(means, axis=0)
+    mail = functools.reduce(DataFrame.unionByName, kept, of(begun, "opened"))
+    answers = sent.groupBy("shard").cogroup(mail.groupBy("shard")).applyInArrow(_answer(g, len(kept), options), "chunk long, answer binary")
+    scored = answered(chunks, answers)
+    return one_row_batches(scored, _score(shards, folds, held, g, options), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

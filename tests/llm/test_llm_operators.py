@@ -440,6 +440,25 @@ def test_seating_follows_the_restaurant_process():
     assert abs(got - t.mean()) < 0.15
 
 
+def test_lm_contexts_are_whole_words(spark, monkeypatch):
+    """Words of one ending are contexts apart; cutting the words into more shards changes little."""
+    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    kept = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rng = random.Random(5)
+    follow = {f"w{i}end": f"v{(i * 37) % 150}" for i in range(150)}
+    train = [(i, " ".join(x for w in rng.sample(sorted(follow), 10) for x in (w, follow[w]))) for i in kept[:300]]
+    true = " ".join(f"{w} {v}" for w, v in list(follow.items())[:40])
+    swapped = " ".join(f"{w} {v}" for w, v in zip(list(follow)[:40], [*list(follow.values())[1:40], follow["w0end"]], strict=True))
+    df = spark.createDataFrame([*train, (held[0], true), (held[1], swapped)], "doc_id long, text string")
+    scores = []
+    for chunks in (6, 0.125):
+        monkeypatch.setattr(pitman_yor, "CHUNKS_PER_SHARD", chunks)
+        got = {r.doc_id: r.score for r in pitman_yor.lm_scores(df).collect()}
+        assert got[held[0]] > got[held[1]] + 40
+        scores.append([got[i] for i in sorted(got)])
+    assert abs(np.array(scores[0]) - np.array(scores[1])).max() < 0.05 * abs(np.array(scores[0])).min()
+
+
 def test_lm_edges(spark, clash, empty):
     assert pitman_yor.lm_scores(empty).count() == 0
     assert pitman_yor.lm_scores(clash).count() == clash.count()
