@@ -57,30 +57,14 @@ def brief(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: For terms: all ASCII but letters and digits parts them.
 NOT_TERM = np.ones(256, bool)
 NOT_TERM[48:58] = NOT_TERM[65:91] = NOT_TERM[97:123] = NOT_TERM[128:] = False
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        n = max(n, 2 * len(_powers[0]))
-        for k, base in enumerate((_BASE, _INVERSE)):
-            grown = np.full(n, base, np.uint64)
-            grown[0] = 1
-            _powers[k] = np.multiply.accumulate(grown)
-    return _powers
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))
@@ -90,6 +74,70 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_keys = np.zeros(0, np.uint64)
+
+
+def _position_keys(n: int) -> np.ndarray:
+    """Unrelated odd factors for the positions of bytes in a word."""
+    global _keys
+    if len(_keys) < n:
+        _keys = mix(np.arange(1, max(n, 2 * len(_keys), 256) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return _keys
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes.  Every position in a stretch has a factor of its
+    own, so stretches made of few bytes in a pattern don't meet."""
+    size = ends - starts
+    at = np.concatenate([[0], np.cumsum(size)])
+    if not at[-1]:
+        return np.zeros(len(size), np.uint64)
+    place = np.arange(at[-1]) - np.repeat(at[:-1], size)
+    value = (_BYTE_LOWER if lower else _BYTE)[data[place + np.repeat(starts, size)]] * _position_keys(int(size.max()))[place]
+    total = np.zeros(at[-1] + 1, np.uint64)
+    np.cumsum(value, out=total[1:])
+    return mix(total[at[1:]] - total[at[:-1]] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+_PRIME = np.uint64(2**31 - 1)
+_BASES = (1_203_816_527, 866_412_953)
+
+
+class Stretches:
+    """Hashes of stretches of a sequence of 64-bit values: two polynomials modulo the prime
+    2^31 - 1, each over its own half of the values, so no pattern of equal values cancels out."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        self._parts = []
+        for k, base in enumerate(_BASES):
+            power, inverse = _prime_powers(base, n + 1), _prime_powers(pow(base, -1, int(_PRIME)), n + 1)
+            half = (values >> np.uint64(33 if k else 2)) % _PRIME + np.uint64(1)
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(half * power[:n] % _PRIME, out=total[1:])
+            self._parts.append((total, inverse))
+
+    def hashes(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        out = length.astype(np.uint64)
+        for total, inverse in self._parts:
+            out = mix(out ^ ((total[start + length] - total[start]) % _PRIME * inverse[start] % _PRIME))
+        return out
+
+
+_prime: dict[int, np.ndarray] = {}
+
+
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    """Powers 0..n-1 of ``base`` modulo the prime."""
+    found = _prime.get(base)
+    if found is None:
+        found = np.ones(1, np.uint64)
+    while len(found) < n:  # the next half is the one before times a power
+        found = np.concatenate([found, found * np.uint64(pow(base, len(found), int(_PRIME))) % _PRIME])
+    _prime[base] = found
+    return found
+
+
 class WordBatch:
     """The words of every row of an Arrow string column.
 
@@ -129,11 +177,7 @@ class WordBatch:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word; ``lower``: A-Z count as a-z."""
-        power, inverse = _power_tables(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[self.data] * power[: len(self.data)], out=total[1:])
-        value = (total[self.ends] - total[self.starts]) * inverse[self.starts]
-        return mix(value + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return byte_hashes(self.data, self.starts, self.ends, lower)
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import _BYTE, WordBatch, _power_tables, arrow_batches, mix
+from .common import WordBatch, arrow_batches, byte_hashes, mix
 
 SYMBOLS = "#*$%&|<>"
 SAMPLE_ROWS = 64  # of each partition, to measure the rules on
@@ -77,11 +77,7 @@ class Features:
         np.cumsum(~((d == 32) | ((d >= 9) & (d <= 13))), out=words[1:])
         full = words[ends] > words[starts] if len(starts) else np.zeros(0, bool)
         starts, ends, row = starts[full], ends[full], row[full]
-        power, inverse = _power_tables(len(d) + 1)
-        total = np.zeros(len(d) + 1, np.uint64)
-        np.cumsum(_BYTE[d] * power[: len(d)], out=total[1:])
-        h = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-        return row, h
+        return row, byte_hashes(d, starts, ends)
 
     def _n_lines(self):
         return np.bincount(self.lines[0], minlength=self.batch.rows)

@@ -28,12 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import answered, chunk_table, one_row_batches, pack_arrays, unpack_arrays, unpack_stream
-from .common import WordBatch, mix
+from .common import Stretches, WordBatch, mix
 from .fm_index import FMIndex
 
 WINDOW = 13
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _WORD_BITS = np.uint64((1 << 48) - 1)  # of a word's hash, what travels: six bytes
 #: Chunks of about 50,000 anchors whose fingerprints, or indexed segments, make up one shard.
 CHUNKS_PER_FILTER_SHARD = 40
@@ -73,11 +72,7 @@ class Segments:
         self.windows = np.diff(np.append(begin, len(at)))
         self.row = b.row[self.start] if len(begin) else np.zeros(0, np.int64)
         words = self.windows + window - 1
-        power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(h), _STEP)]))
-        back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(h), _BACK)]))
-        total = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * power[: len(h)], out=total[1:])
-        self.content = mix((total[self.start + words] - total[self.start]) * back[self.start] + words.astype(np.uint64))
+        self.content = Stretches(h).hashes(self.start, words)
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
