@@ -9,10 +9,15 @@ Documents with equal sets are one node from the start, so groups of copies cost
 later.  In each bucket the node that shares most buckets with others is the centre of a star
 (a group's original rather than one of its variants); only centre-member pairs are candidates,
 confirmed on full sets.  Where the confirmed links leave a bucket with more than one
-component, its next nodes become centres too (in growing steps), for pairs of different
-components only, until every bucket is one component or all its pairs were compared: no link
-that shares a bucket is lost, and no bucket ever emits its pairs at once.  Bitmaps of the sets
-bound how far two sets differ at least, which rules out most of these pairs inside the join.
+component, its other nodes take their turn as centres (a few first, then in growing steps; the
+order is a hash, so no bucket is ever sorted), for pairs of different components only, until
+every bucket is one component or all its nodes had their turn: no link that shares a bucket is
+lost.  Bitmaps of the sets bound how far two sets differ at least, which rules out nearly all
+of these pairs inside the join, exactly.  Later links join components, not nodes, so earlier
+links are not read again.
+
+A pair at exactly 0.80 shares no bucket, and is missed, with a probability of about 6.5e-5
+(0.81: 3e-5); nothing finds it later unless others link both.
 """
 
 from __future__ import annotations
@@ -22,8 +27,9 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WordBatch, arrow_batches, brief, mix, stash
 
@@ -55,11 +61,10 @@ def shingle_sets(batch: WordBatch, words: int) -> list[np.ndarray]:
         if b - a >= words:
             out.append(np.unique(roll[a : b - words + 1]))
         elif b > a:
-            x = np.uint64(b - a)
-            with np.errstate(over="ignore"):
-                for v in h[a:b]:
-                    x = x * _PAIR + v
-            out.append(mix(np.array([x], np.uint64) ^ _PAIR))
+            x = np.full(1, b - a, np.uint64)
+            for v in h[a:b]:
+                x = x * _PAIR + v
+            out.append(mix(x ^ _PAIR))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -154,26 +159,34 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def components(links: DataFrame, name: str = "components") -> tuple[DataFrame, int]:
-    """(node, comp) of all nodes in links (a, b), and their number; comp is the least node of
-    the component.
+    """(node, comp) of all nodes in links (a, b), and their number; comp is one of the
+    component's nodes, and stands in the table with itself.
 
-    Each pass takes the least label around a node and then follows labels once (so long
-    chains shorten by half); every pass is a written table, and only counts come back.
+    Each pass names every node after the least of its neighbourhood, in an order drawn anew
+    by hash, and then goes on with the links between names only: they shrink by a factor from
+    pass to pass, so all passes together read the links a few times, however long the chains.
+    Every pass is a written table, and only counts come back.
     """
-    both = stash(links.union(links.select("b", "a")).toDF("a", "b").distinct(), name + "-links")
-    now = stash(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "node"), name)
-    n = now.count()
-    while n:
-        label = brief(now, n)
-        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("comp").alias("near"))
-        least = near.join(label, near["a"] == label["node"]).select("node", "comp", F.least("comp", "near").alias("next"))
-        jump = brief(now.select(F.col("node").alias("next"), F.col("comp").alias("far")), n)
-        # every label is a node of its component and so has a label of its own
-        new = stash(least.join(jump, "next").select("node", F.least("next", "far").alias("comp"), (F.least("next", "far") < F.col("comp")).alias("moved")), name)
-        now = new.select("node", "comp")
-        if not new.where("moved").limit(1).count():
-            break
-    return now, n
+    edges = stash(links.select("a", "b").where("a <> b"), name + "-links")
+    count, passes = edges.count(), []
+    while count:
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(passes))).alias("h"), F.col(c).alias("x"))  # noqa: B023, E731
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        names = stash(both.groupBy("a").agg(F.min(rank("b")).alias("least")).select(F.col("a").alias("node"), F.least("least", rank("a"))["x"].alias("comp")), name)
+        passes.append(names)
+        few = brief(names, 2 * count)
+        left = edges.join(few, F.col("a") == F.col("node")).select(F.col("comp").alias("a"), "b")
+        left = left.join(few, F.col("b") == F.col("node")).select("a", F.col("comp").alias("b")).where("a <> b")
+        edges = stash(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name + "-links")
+        count = edges.count()
+    if not passes:
+        return edges.selectExpr("a AS node", "b AS comp"), 0
+    done = passes.pop()
+    for names in reversed(passes):
+        later = done.select(F.col("node").alias("comp"), F.col("comp").alias("last"))
+        done = names.join(later, "comp", "left").select("node", F.coalesce("last", "comp").alias("comp"))
+    done = stash(done.unionByName(done.select(F.col("comp").alias("node"), "comp")).distinct(), name)
+    return done, done.count()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,7 +211,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD,
     members = stash(met.join(popular, "node").select("bucket", "node", "n", "pop"), "members")
 
     inner = nodes.join(members.select("node").distinct(), "node", "left_semi").select("first", "node")
-    wanted = inner.select(F.col("first").alias("doc_id")).distinct().hint("shuffle_hash")
+    wanted = inner.select(F.col("first").alias("doc_id")).distinct()
     sets = _sets(docs.join(wanted, "doc_id", "left_semi"), words).groupBy("node").agg(F.first("set").alias("set"), F.first("cells").alias("cells"))
     sets = stash(sets.join(members.select("node").distinct(), "node", "left_semi"), "sets")
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold
@@ -210,31 +223,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD,
     links = stash(_confirmed(pairs, sets, threshold), "links")
     comps, named = components(links)
 
-    low, high = 1, STEP
-    rank = Window.partitionBy("bucket").orderBy(F.desc("pop"), "node")
+    low, high = 0, STEP
+    turn = F.shiftrightunsigned(F.xxhash64("bucket", "node"), 1) / F.lit(2.0**63) * F.col("m")  # a place in the bucket, without sorting it
     while True:
         now = members.join(brief(comps, named), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        several = now.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).where((F.col("c0") < F.col("c1")) & (F.col("m") > low + 1))
-        several = stash(several.select("bucket"), "several")
+        several = now.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).where((F.col("c0") < F.col("c1")) & (F.col("m") > low))
+        several = stash(several.select("bucket", "m"), "several")
         buckets = several.count()
         if not buckets:
             break
-        open_ = now.join(brief(several, buckets), "bucket").withColumn("rank", F.row_number().over(rank) - 1)
+        open_ = now.join(brief(several, buckets), "bucket").withColumn("turn", turn).drop("m")
         if "cells" not in open_.columns:
             open_ = open_.join(sets.select("node", "cells"), "node")
         open_ = stash(open_, "open")
-        x = open_.where((F.col("rank") >= low) & (F.col("rank") < high)).select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("rank").alias("ra"), F.col("cells").alias("xa"))
-        y = open_.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("rank").alias("rb"), F.col("cells").alias("xb"))
+        x = open_.where((F.col("turn") >= low) & (F.col("turn") < high)).select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.struct("turn", "node").alias("ta"), F.col("cells").alias("xa"))
+        y = open_.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.struct("turn", "node").alias("tb"), F.col("cells").alias("xb"))
         apart = reduce(add, [F.bit_count(F.col("xa")[i].bitwiseXOR(F.col("xb")[i])) for i in range(CELLS // 64)])
         near = (100 + threshold) * apart <= (100 - threshold) * (F.col("na") + F.col("nb"))
-        pairs = stash(x.join(y, "bucket").where((F.col("rb") > F.col("ra")) & (F.col("ca") != F.col("cb")) & fits & near).select("a", "b").distinct(), "pairs")
+        pairs = x.join(y, "bucket").where((F.col("tb") > F.col("ta")) & (F.col("ca") != F.col("cb")) & fits & near)
+        pairs = stash(pairs.select("a", "b", "ca", "cb").distinct(), "pairs")
         count = pairs.count()
         if count:
-            fresh = stash(_confirmed(brief(pairs, count), sets, threshold), "links")
-            if fresh.limit(1).count():
-                links = links.union(fresh)
-                comps, named = components(links)
-        members = open_.select("bucket", "node", "n", "pop", "cells")  # a bucket of one component stays so
+            fresh = _confirmed(brief(pairs.select("a", "b"), count), sets, threshold).join(brief(pairs, count), ["a", "b"])
+            merged, found = components(fresh.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+            if found:
+                into = brief(merged.select(F.col("node").alias("comp"), F.col("comp").alias("into")), found)
+                old = comps.join(into, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp"))
+                comps = stash(old.unionByName(merged.join(comps, "node", "left_anti")), "components")
+                named += found
+        members = open_.select("bucket", "node", "n", "cells")  # a bucket of one component stays so
         low, high = high, high * STEP
 
     labelled = nodes.select("node", "first").join(brief(comps, named), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -252,26 +269,25 @@ def keep_one(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD, key: s
     """
     found = stash(near_duplicates(docs, words, threshold, key, text), "kept")
     ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("any"))
-    once = ids.where("n = 1 and doc_id is not null and any").select(F.col("doc_id").alias("_id")).hint("shuffle_hash")
+    once = ids.where("n = 1 and doc_id is not null and any").select(F.col("doc_id").alias("_id"))
     out = docs.join(once, docs[key] == once["_id"], "left_semi")
     again = ids.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
     if not again.limit(1).count():
         return out
-    # ids that repeat: rows are told apart by their sets
+    # ids that repeat: rows are told apart by their sets, beside which they travel as one struct
     rest = docs.join(again, docs[key].eqNullSafe(again["_id"]), "left_semi")
-    at = docs.columns.index(text)
+    rest = rest.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("body"))
 
     def run(batches):
         for batch in batches:
-            nodes = [_node(s) if len(s) else None for s in shingle_sets(WordBatch(batch.column(at)), words)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, "_node"])
+            nodes = [_node(s) if len(s) else None for s in shingle_sets(WordBatch(batch.column(2)), words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64())], names=["row", "id", "node"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rest = rest.mapInArrow(run, f"{kinds}, _node long")
+    rest = rest.mapInArrow(run, T.StructType([rest.schema["row"], rest.schema["id"], T.StructField("node", T.LongType())]))
     good = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("node").alias("_n")).distinct()
-    rest = rest.join(good, rest[key].eqNullSafe(good["_id"]) & rest["_node"].eqNullSafe(good["_n"]), "left_semi")
-    one = rest.where("_node is not null").dropDuplicates([key, "_node"])
-    return out.unionByName(one.unionByName(rest.where("_node is null")).drop("_node"))
+    rest = rest.join(good, F.col("id").eqNullSafe(F.col("_id")) & F.col("node").eqNullSafe(F.col("_n")), "left_semi")
+    rest = rest.where("node is not null").dropDuplicates(["id", "node"]).unionByName(rest.where("node is null"))
+    return out.unionByName(rest.select("row.*"))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
