@@ -17,10 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, shared_dir
+from .common import arrow_batches, keep_track, shared_dir
 
 CHUNK_BYTES = 2 << 20
-CHUNK_ROWS = 2000
+CHUNK_ROWS = 4000
+#: Bytes of the source that make up one bucket of a chunk table, and Spark's limit of buckets.
+BUCKET_BYTES = 64 << 20
+MOST_BUCKETS = 100_000
 
 
 def pack_stream(batches: list[pa.RecordBatch]) -> bytes:
@@ -38,11 +41,12 @@ def unpack_stream(blob) -> pa.RecordBatch:
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed blob."""
+    """Arrays as one compressed blob; the first bytes of all items lie together, then the second
+    ones, and so on, which packs counts and differences best."""
     parts = [np.array([len(arrays)], np.int64).tobytes()]
     for a in arrays:
         parts.append(f"{a.dtype.str:<8}".encode() + np.array([a.nbytes], np.int64).tobytes())
-    parts += [np.ascontiguousarray(a).tobytes() for a in arrays]
+    parts += [np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() for a in arrays]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
@@ -51,16 +55,25 @@ def unpack_arrays(blob) -> list[np.ndarray]:
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     at, heads = 8, []
     for _ in range(n):
-        heads.append((raw[at : at + 8].decode().strip(), int(np.frombuffer(raw, np.int64, 1, at + 8)[0])))
+        heads.append((np.dtype(raw[at : at + 8].decode().strip()), int(np.frombuffer(raw, np.int64, 1, at + 8)[0])))
         at += 16
     out = []
     for kind, size in heads:
-        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+        planes = np.frombuffer(raw, np.uint8, size, at).reshape(kind.itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
         at += size
     return out
 
 
-def chunk_table(docs: DataFrame, name: str) -> DataFrame:
+def buckets_for(df: DataFrame) -> int:
+    """Buckets of a table like ``df``: they follow the bytes that its files hold.  Where the plan
+    doesn't know them (it then says far too many), the partitions bound them."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = min(size, df.rdd.getNumPartitions() * (128 << 20))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, size // BUCKET_BYTES))
+
+
+def chunk_table(docs: DataFrame, name: str, size_of_chunk: int = CHUNK_BYTES) -> DataFrame:
     """(chunk, body) of ``docs``, written and bucketed by chunk."""
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -79,22 +92,27 @@ def chunk_table(docs: DataFrame, name: str) -> DataFrame:
                 held.append(part)
                 size += part.get_total_buffer_size() if batch.num_rows <= 100 else part.nbytes
                 rows += part.num_rows
-                if size >= CHUNK_BYTES or rows >= CHUNK_ROWS:
+                if size >= size_of_chunk or rows >= CHUNK_ROWS:
                     yield row()
                     n, held, size, rows = n + 1, [], 0, 0
         if held:
             yield row()
 
-    table = f"{name}_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = docs.mapInArrow(run, "chunk long, body binary")
-    made.write.format("parquet").option("compression", "none").option("path", f"{shared_dir(spark)}/{table}").bucketBy(buckets, "chunk").saveAsTable(table)
+    return bucketed(docs.mapInArrow(run, "chunk long, body binary"), name, "chunk", buckets_for(docs))
+
+
+def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed: joins and groups by ``by`` don't move it."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    df.write.format("parquet").option("compression", "none").option("path", path).bucketBy(buckets, by).saveAsTable(table)
+    keep_track(path, table)
     return spark.table(table)
 
 
-def one_row_batches(df: DataFrame, run, schema: str, rows: int = 2) -> DataFrame:
-    """mapInArrow over rows that are megabytes each."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def one_row_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow over rows that are megabytes each: batches are cut by bytes."""
+    arrow_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -24,32 +24,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what a Python worker holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def arrow_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once.  All operators set the same, since results are
+    lazy and run with what the session holds then."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only if unset."""
+    """The folder all executors share (spark.checkpoint.dir); one of our own only if unset,
+    and only where driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     kept = spark.sparkContext._jsc.sc().getCheckpointDir()
     if kept.isDefined():
         return kept.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = f"file://{tempfile.mkdtemp(prefix='tallyforge-')}"
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
+_made: list[tuple[str, str | None]] = []
+
+
+def keep_track(path: str, table: str | None = None) -> None:
+    """Remember a folder (and table) that ``cleanup`` may remove."""
+    _made.append((path, table))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Remove every table and folder that operators of this session wrote to the shared folder;
+    to be called when the results that read them were written.  Gives their number."""
+    n = len(_made)
+    while _made:
+        path, table = _made.pop()
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        remove(spark, path)
+    return n
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a stashed table that nothing reads any more."""
+    path = df.stash_path
+    remove(df.sparkSession, path)
+    _made.remove((path, None))
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here,
     and a lost executor costs no recomputation of what lies before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    keep_track(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
 
 
 def brief(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:

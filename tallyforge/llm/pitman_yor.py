@@ -4,32 +4,34 @@ The restaurant of a context (the preceding word by its 64-bit hash, or the start
 serves words.  Its parent is the restaurant of the context's class (the preceding word's last
 two bytes), all classes share one parent, the restaurant of words without context, and the
 parent of that is uniform over the known words and one unknown.  Customers of a context are
-its tokens in the training texts; each table is a customer of the parent.  Table counts are
-sampled by Gibbs sweeps (each pair is seated anew given its parent's current probability, in
-blocks that grow with the count), and what the predictive probability needs of them is
-averaged over the sweeps after the burn-in:
+its tokens in the training texts; each table is a customer of the parent.  In every Gibbs
+sweep all customers of a dish leave their restaurant (and its parent) and are seated anew, in
+one exact draw (``seating``), given what the others hold.  After the burn-in each sweep gives
+a predictive probability
 
     p(w | u) = (c_uw - d t_uw + (a + d T_u) p(w | class of u)) / (a + C_u)
     p(w | c) = (k_cw - d t_cw + (a + d T_c) p(w)) / (a + K_c)
     p(w)     = (k_w - d0 t_w + (a0 + d0 T) / (V + 1)) / (a0 + K)
 
-The numerators' first terms and the totals are means over sweeps, so the averaged
-probabilities add up to one over the known words and the unknown.
+and these are averaged.  Dishes of one sweep are drawn side by side, against the totals that
+the last sweep left.
 
 Chunks of documents send their distinct (word, context) pairs with training counts to shards
 by word; a shard holds all contexts of its words, so it seats all levels alone.  Of the others
 it needs totals, which are exact sums over shards before each sweep: of classes and the root
-through the driver, of contexts at the shard that owns the context as a word (which so knows
-C_u, the word's count, as well).  A pair of one customer has one table forever; only pairs of
-more are seated and reported again.  Answers go back to their chunks, which score every
-token of every text.
+through the driver, of contexts through the shard that owns the context as a word.  Random
+numbers are hashes of what they are drawn for, so scores don't depend on the number of shards.
+At last each shard answers a chunk's pairs with their averaged probabilities, and the chunk
+adds them up over every token of every text.
+
+A dictionary of frequent words (from a few chunks, of bounded size) shortens what is sent; it
+changes no result.
 """
 
 from __future__ import annotations
 
 import functools
 import math
-import uuid
 import zlib
 
 import numpy as np
@@ -37,16 +39,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import answered, chunk_table, one_row_batches, pack_arrays, unpack_arrays, unpack_stream
-from .common import WordBatch, mix, shared_dir, stash
+from .chunks import answered, bucketed, buckets_for, chunk_table, one_row_batches, pack_arrays, unpack_arrays, unpack_stream
+from .common import WordBatch, discard, mix, stash
+from .seating import draw_tables, gamma
 
-CLASSES = 1024
+CLASSES = 1024  # in the last ten bits of a word's hash
 DISCOUNT, STRENGTH = 0.8, 5.0  # of contexts and classes
 DISCOUNT0, STRENGTH0 = 0.8, 5.0  # of their parent
-SWEEPS, BURN_IN = 5, 2
-CHUNKS_PER_SHARD = 6
+SWEEPS, BURN_IN = 6, 2
+BYTES, CHUNKS_PER_SHARD = 4 << 20, 3  # larger chunks repeat fewer pairs
+FREQUENT, LEARNED_FROM = 1 << 16, 64  # words of the dictionary, and chunks it is drawn up from at most
 SEED = 23
-_END = np.uint64(0x5BD1E9955BD1E995)
+_LOW = np.uint64(CLASSES - 1)
+_END = np.uint64(0x5BD1E9955BD1E995) & ~_LOW  # of class 0: the start of a text
 
 
 def owner(words: np.ndarray, shards: int) -> np.ndarray:
@@ -54,8 +59,35 @@ def owner(words: np.ndarray, shards: int) -> np.ndarray:
     return ((words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+def _runs(of: np.ndarray):
+    """(value, from, to) of the runs of a sorted array."""
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]]) if len(of) else np.zeros(0, np.int64)
+    return [(int(of[a]), int(a), int(b)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def small(x: np.ndarray) -> np.ndarray:
+    """Counts in the fewest bytes."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
+class Dictionary:
+    """Sets of hashes (distinct, in order) as places of frequent ones and differences of the others."""
+
+    def __init__(self, frequent: np.ndarray):
+        self.frequent = frequent
+
+    def write(self, hashes: np.ndarray) -> list[np.ndarray]:
+        at = np.minimum(np.searchsorted(self.frequent, hashes), max(0, len(self.frequent) - 1))
+        known = self.frequent[at] == hashes if len(self.frequent) else np.zeros(len(hashes), bool)
+        return [small(np.diff(at[known], prepend=0)), np.diff(hashes[~known], prepend=np.uint64(0))]
+
+    def read(self, places: np.ndarray, differences: np.ndarray) -> np.ndarray:
+        known = self.frequent[np.cumsum(places, dtype=np.int64)] if len(places) else np.zeros(0, np.uint64)
+        return np.sort(np.concatenate([known, np.cumsum(differences, dtype=np.uint64)]))
+
+
 class Tokens:
-    """The tokens of a chunk: hash, row and class (as a context of the next) of each, end tokens
+    """The tokens of a chunk: hash (the class in its last bits) and row of each, end tokens
     included.  The context of a token is the one before it, of the first of a text an end token."""
 
     def __init__(self, text: pa.Array):
@@ -66,15 +98,13 @@ class Tokens:
         is_end = np.zeros(n, bool)
         is_end[ends] = True
         self.row = np.repeat(np.arange(b.rows), b.counts + 1)
-        self.hash = np.empty(n, np.uint64)
-        self.hash[is_end], self.hash[~is_end] = _END, h
         d = b.data
         last = d[b.ends - 1] if len(h) else np.zeros(0, np.uint8)
         former = np.where(b.ends - b.starts > 1, d[np.maximum(b.ends - 2, 0)], 0) if len(h) else last
         fold = lambda x: np.where((x >= 65) & (x <= 90), x + 32, x).astype(np.uint64)
-        kind = (mix((fold(former) << np.uint64(8)) | fold(last)) % np.uint64(CLASSES - 1)).astype(np.int64) + 1
-        self.kind = np.zeros(n, np.int64)  # 0: the start of a text
-        self.kind[~is_end] = kind
+        kind = mix((fold(former) << np.uint64(8)) | fold(last)) % _LOW + np.uint64(1)
+        self.hash = np.empty(n, np.uint64)
+        self.hash[is_end], self.hash[~is_end] = _END, (h & ~_LOW) | kind
         self.counts = b.counts + 1
 
 
@@ -84,8 +114,6 @@ class Request:
     def __init__(self, tokens: Tokens, training: np.ndarray):
         self.words, word = np.unique(tokens.hash, return_inverse=True)
         n = max(1, len(self.words))
-        self.kind = np.zeros(n, np.int64)
-        self.kind[word] = tokens.kind
         end = np.searchsorted(self.words, _END)
         key = word.astype(np.int64) * n + np.concatenate([[end], word[:-1]])[: len(word)]
         self.pairs, self.of = np.unique(key, return_inverse=True)
@@ -93,13 +121,6 @@ class Request:
         self.count = np.bincount(self.of, weights=training[tokens.row], minlength=len(self.pairs)).astype(np.uint32)
         self.edges = np.searchsorted(self.word_of, np.arange(len(self.words) + 1))
 
-    def parts(self, shards: int):
-        """(shard, from word, to word) of the shards' stretches."""
-        of = owner(self.words, shards)
-        cut = np.flatnonzero(np.diff(of)) + 1
-        edge = np.concatenate([[0], cut, [len(of)]])
-        return [(int(of[a]), int(a), int(b)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-
 
 def _chunk(body, folds: int, held: int):
     docs = unpack_stream(body.as_buffer())
@@ -108,23 +129,33 @@ def _chunk(body, folds: int, held: int):
     return docs, Tokens(docs.column(1)), out
 
 
-def small(x: np.ndarray) -> np.ndarray:
-    """Counts in the fewest bytes."""
-    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+def frequent_words(chunks: DataFrame, n: int) -> Dictionary:
+    """Of ``n`` chunks LEARNED_FROM at most are asked for their most frequent words."""
+
+    def run(batches):
+        for batch in batches:
+            for body in batch.column(0):
+                h, count = np.unique(Tokens(unpack_stream(body.as_buffer()).column(1)).hash, return_counts=True)
+                top = np.argsort(-count, kind="stable")[:FREQUENT]
+                yield pa.RecordBatch.from_arrays([pa.array(h[top].view(np.int64)), pa.array(count[top])], names=["word", "n"])
+
+    some = chunks.orderBy(F.xxhash64("chunk")).limit(LEARNED_FROM) if n > LEARNED_FROM else chunks
+    counts = one_row_batches(some.select("body"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").toArrow()
+    return Dictionary(np.sort(top.column(0).to_numpy().view(np.uint64)))
 
 
-def _send(shards: int, folds: int, held: int):
+def _send(words: Dictionary, shards: int, folds: int, held: int):
     def run(batches):
         for batch in batches:
             for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 _, tokens, out = _chunk(body, folds, held)
                 r = Request(tokens, ~out)
                 rows = []
-                for s, a, b in r.parts(shards):
+                for s, a, b in _runs(owner(r.words, shards)):
                     x, y = r.edges[a], r.edges[b]
-                    w = r.words[a:b]
                     u, at = np.unique(r.context_of[x:y], return_inverse=True)
-                    blob = pack_arrays(np.diff(w, prepend=np.uint64(0)), np.diff(r.edges[a : b + 1]).astype(np.uint32), np.diff(r.words[u], prepend=np.uint64(0)), r.kind[u].astype(np.uint16), small(at), small(r.count[x:y]))
+                    blob = pack_arrays(*words.write(r.words[a:b]), small(np.diff(r.edges[a : b + 1])), *words.write(r.words[u]), small(at), small(r.count[x:y]))
                     rows.append((s, chunk, blob))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["shard", "chunk", "blob"])
@@ -132,94 +163,70 @@ def _send(shards: int, folds: int, held: int):
     return run
 
 
-def seat(count: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of ``count`` customers of one dish each; ``weight``: (strength + discount * tables
-    of the restaurant) * the parent's probability.  The first customer opens a table; the
-    others are seated one by one at first, then in blocks of a quarter of those seated."""
-    tables = (count > 0).astype(np.int64)
-    live = np.flatnonzero(count > 1)
-    seated = 1
-    while len(live):
-        block = np.minimum(max(1, seated // 4), count[live] - seated)
-        p = weight[live] / (weight[live] + seated + (block - 1) / 2 - discount * tables[live])  # as in the middle of the block
-        tables[live] += np.where(block == 1, rng.random(len(live)) < p, rng.binomial(block, p)) if seated >= 8 else rng.random(len(live)) < p
-        seated += max(1, seated // 4)
-        live = live[count[live] > seated]
-    return tables
-
-
 class Totals:
-    """Sums over all shards: words known, tables and customers of the root and of each class."""
+    """Sums over all shards: tokens and words known, tables and customers of the root and of each class."""
 
     def __init__(self, x: np.ndarray):
         self.tokens, self.known, self.root, self.customers = x[:4]
         self.laid, self.seated = x[4 : 4 + CLASSES], x[4 + CLASSES :]
 
 
-def totals(k, tables, kind, root, tokens) -> np.ndarray:
+def _totals(k, tables, root, kind, tokens) -> np.ndarray:
     """What Totals takes, of one shard; ``tokens``: of each word."""
     per = lambda x: np.bincount(kind, weights=x, minlength=CLASSES)
     return np.concatenate([[tokens.sum(), (tokens > 0).sum(), root.sum(), tables.sum()], per(tables), per(k)])
 
 
-def root_p(customers, root, t: Totals, o: dict) -> np.ndarray:
-    return (customers - o["discount0"] * root + (o["strength0"] + o["discount0"] * t.root) / (t.known + 1)) / (o["strength0"] + t.customers)
-
-
-def class_p(k, tables, kind, p, t: Totals, o: dict) -> np.ndarray:
-    """``p``: the root's probability of the pair's word."""
-    return (k - o["discount"] * tables + (o["strength"] + o["discount"] * t.laid[kind]) * p) / (o["strength"] + t.seated[kind])
-
-
-def seat_upper(k, word, kind, p, n_words: int, t: Totals, rng, o: dict):
-    """Tables of the pairs of word and class with ``k`` customers, and of the root."""
-    tables = seat(k, (o["strength"] + o["discount"] * t.laid[kind]) * p[word], o["discount"], rng)
-    customers = np.bincount(word, weights=tables, minlength=n_words).astype(np.int64)
-    root = seat(customers, np.full(n_words, (o["strength0"] + o["discount0"] * t.root) / (t.known + 1)), o["discount0"], rng)
-    return tables, customers, root
-
-
-def gibbs(word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words: int, times: int, rng: np.random.Generator, options: dict):
-    """Both upper levels in one shard, with ``count`` customers of classes that stay.  Means over
-    the sweeps after the burn-in: per pair c - d t, per word k - d0 t0; and sums: tables per
-    class, tables and customers of the parent."""
-    if times != 1:
-        raise ValueError("the totals of several shards are summed by lm_scores")
-    tables = (count > 0).astype(np.int64)
-    tokens = np.bincount(word, weights=count, minlength=n_words)
-    customers = np.bincount(word, weights=tables, minlength=n_words)
-    root = (customers > 0).astype(np.int64)
-    found = []
-    for sweep in range(options["sweeps"]):
-        t = Totals(totals(count, tables, context, root, tokens))
-        tables, customers, root = seat_upper(count, word, context, root_p(customers, root, t, options), n_words, t, rng, options)
-        if sweep >= options["burn_in"]:
-            found.append((count - options["discount"] * tables, customers - options["discount0"] * root, np.bincount(context, weights=tables, minlength=CLASSES), np.array([root.sum(), customers.sum()])))
-    return tuple(np.mean([f[i] for f in found], axis=0) for i in range(4))
-
-
 class Pairs:
     """The pairs of a shard, from what chunks sent it: words, contexts, and pairs of word and class."""
 
-    def __init__(self, blobs: list):
+    def __init__(self, blobs: list, words: Dictionary):
         parts = [unpack_arrays(b.as_buffer()) for b in blobs]
-        self.words, self.at = np.unique(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), return_inverse=True)
-        per_word = np.concatenate([p[1] for p in parts]).astype(np.int64)
-        self.contexts, at = np.unique(np.concatenate([np.cumsum(p[2], dtype=np.uint64) for p in parts]), return_inverse=True)
-        kind = np.zeros(len(self.contexts), np.int64)
-        kind[at] = np.concatenate([p[3] for p in parts])
-        first = np.cumsum([0, *[len(p[2]) for p in parts]])
-        context = at[np.concatenate([p[4].astype(np.int64) + f for p, f in zip(parts, first, strict=False)])]
-        self.sizes = [(len(p[0]), len(p[4])) for p in parts]
+        heard = [words.read(*p[:2]) for p in parts]
+        around = [words.read(*p[3:5]) for p in parts]
+        self.words, self.at = np.unique(np.concatenate(heard), return_inverse=True)
+        self.contexts, at = np.unique(np.concatenate(around), return_inverse=True)
+        per_word = np.concatenate([p[2] for p in parts]).astype(np.int64)
+        first = np.cumsum([0, *map(len, around)])
+        context = at[np.concatenate([p[5].astype(np.int64) + f for p, f in zip(parts, first, strict=False)])]
+        self.sizes = [(len(h), len(p[5])) for h, p in zip(heard, parts, strict=True)]
         key, self.of = np.unique(np.repeat(self.at, per_word).astype(np.int64) * len(self.contexts) + context, return_inverse=True)
-        self.count = np.bincount(self.of, weights=np.concatenate([p[5] for p in parts]), minlength=len(key)).astype(np.int64)
+        self.count = np.bincount(self.of, weights=np.concatenate([p[6] for p in parts]), minlength=len(key)).astype(np.int64)
         self.word, self.context = key // len(self.contexts), key % len(self.contexts)
-        mids, self.mid = np.unique(self.word * CLASSES + kind[self.context], return_inverse=True)
+        mids, self.mid = np.unique(self.word * CLASSES + (self.contexts & _LOW).astype(np.int64)[self.context], return_inverse=True)
         self.mid_word, self.mid_kind = mids // CLASSES, mids % CLASSES
         self.tokens = np.bincount(self.word, weights=self.count, minlength=len(self.words)).astype(np.int64)
         self.many = np.flatnonzero(self.count > 1)
         self.single = np.bincount(self.mid, weights=self.count == 1, minlength=len(mids)).astype(np.int64)
 
+    def of_context(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, weights=x, minlength=len(self.contexts)).astype(np.int64)
+
+
+class Upper:
+    """The restaurants of classes and the root, as far as they concern the words of a shard."""
+
+    def __init__(self, k, tables, root, mid_word, mid_kind, n_words: int, t: Totals, o: dict):
+        self.k, self.tables, self.root, self.word, self.kind, self.t, self.o = k, tables, root, mid_word, mid_kind, t, o
+        self.customers = np.bincount(mid_word, weights=tables, minlength=n_words)
+        self.known = (o["strength0"] + o["discount0"] * t.root) / (t.known + 1)
+
+    def root_p(self, own=None) -> np.ndarray:
+        """Of each word; or with ``own`` tables of each pair of word and class away, of each pair."""
+        k, tables, n = self.customers, self.root, self.t.customers
+        if own is not None:
+            k, tables = k[self.word], tables[self.word]
+            k, tables, n = k - own, tables * (k - own) / np.maximum(k, 1), n - own
+        return (k - self.o["discount0"] * tables + self.known) / (self.o["strength0"] + n)
+
+    def class_p(self, pairs=slice(None), own=0) -> np.ndarray:
+        """Of pairs of word and class; ``own``: customers that are away, and their share of tables."""
+        k, tables, kind = self.k[pairs], self.tables[pairs], self.kind[pairs]
+        left = k - own
+        tables = tables * left / np.maximum(k, 1)
+        high = (self.o["strength"] + self.o["discount"] * self.t.laid[kind]) * self.root_p()[self.word[pairs]]
+        return (left - self.o["discount"] * tables + high) / (self.o["strength"] + self.t.seated[kind] - own)
+
 
 _MAIL = "shard long, sender long, tag string, blob binary, stats array<double>"
 
@@ -230,13 +237,9 @@ def _mail(rows: list) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
 
 
-def _to_owners(shard: int, shards: int, tag: str, contexts: np.ndarray, *numbers: np.ndarray) -> list:
+def _to_owners(shard: int, shards: int, tag: str, words: Dictionary, contexts: np.ndarray, *numbers: np.ndarray) -> list:
     """Numbers of contexts (in order of hash) to the shards that own the contexts."""
-    if not len(contexts):
-        return []
-    of = owner(contexts, shards)
-    edge = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]])
-    return [(int(of[a]), shard, tag, pack_arrays(np.diff(contexts[a:b], prepend=np.uint64(0)), *[small(x[a:b]) for x in numbers]), None) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    return [(s, shard, tag, pack_arrays(*words.write(contexts[a:b]), *[small(x[a:b]) for x in numbers]), None) for s, a, b in _runs(owner(contexts, shards))]
 
 
 def _letters(table: pa.Table) -> dict:
@@ -252,106 +255,145 @@ def _joined(letters: list, i: int) -> np.ndarray:
     return np.concatenate([x[i] for _, x in letters]).astype(np.float64) if letters else np.zeros(0)
 
 
-def _open(shards: int):
-    """The first state of a shard: each pair has one table."""
+def _open(words: Dictionary, shards: int):
+    """The first state of a shard: each pair has one table.  Owners of contexts hear of tables that
+    stay, customers, and pairs that will be seated."""
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         order = np.argsort(table.column("chunk").to_numpy())
-        p = Pairs([table.column("blob")[int(i)] for i in order])
-        many_contexts, at = np.unique(p.context[p.many], return_inverse=True)
-        singles = np.bincount(p.context, weights=p.count == 1, minlength=len(p.contexts)).astype(np.int64)
-        several = np.bincount(p.context, weights=p.count > 1, minlength=len(p.contexts)).astype(np.int64)
-        state = pack_arrays(np.diff(p.contexts[many_contexts], prepend=np.uint64(0)), small(at), small(p.mid[p.many]), small(p.count[p.many]), small(p.single), small(p.mid_word), p.mid_kind.astype(np.uint16), small(p.tokens))
+        p = Pairs([table.column("blob")[int(i)] for i in order], words)
+        here, at = np.unique(p.context[p.many], return_inverse=True)
+        state = pack_arrays(*words.write(p.contexts[here]), small(at), small(p.mid[p.many]), small(p.count[p.many]), small(p.single), small(p.mid_word), p.mid_kind.astype(np.uint16), small(p.tokens), *words.write(p.words))
         k = p.single + np.bincount(p.mid[p.many], minlength=len(p.mid_word))
-        tables = (k > 0).astype(np.int64)
-        root = (p.tokens > 0).astype(np.int64)
-        seen = np.flatnonzero(singles + several)
-        rows = [(shard, shard, "state", state, None), (-1, shard, "stats", None, totals(k, tables, p.mid_kind, root, p.tokens))]
-        return _mail(rows + _to_owners(shard, shards, "opened", p.contexts[seen], singles[seen], several[seen]))
+        tables, root = (k > 0).astype(np.int64), (p.tokens > 0).astype(np.int64)
+        stats = _totals(k, tables, root, p.mid_kind, p.tokens)
+        rows = [(shard, shard, "state", state, None), (-1, shard, "stats", None, stats)]
+        return _mail(rows + _to_owners(shard, shards, "opened", words, p.contexts, p.of_context(p.count == 1), p.of_context(p.count), p.of_context(p.count > 1)))
 
     return run
 
 
-def _sum(table: pa.Table) -> pa.Table:
+def _sum(words: Dictionary):
     """Letters to an owner, answered by the sums of each number over all that wrote; for contexts
     of which the writer has a pair to seat."""
-    tag = table.column("tag")[0].as_py()
-    letters = _letters(table)[tag]
-    shard = table.column("shard")[0].as_py()
-    distinct, at = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for _, x in letters]), return_inverse=True)
-    sums = [np.bincount(at, weights=_joined(letters, i), minlength=len(distinct)).astype(np.int64) for i in range(1, len(letters[0][1]))]
-    out, done = [], 0
-    for sender, x in letters:
-        here = at[done : done + len(x[0])][x[-1] > 0]
-        done += len(x[0])
-        out.append((sender, shard, f"{tag} sums", pack_arrays(*[small(y[here]) for y in sums]), None))
-    return _mail(out)
-
-
-def _sweep(shards: int, sweep: int, g: np.ndarray, o: dict):
+
+    def run(table: pa.Table) -> pa.Table:
+        tag = table.column("tag")[0].as_py()
+        letters = _letters(table)[tag]
+        shard = table.column("shard")[0].as_py()
+        contexts = [words.read(*x[:2]) for _, x in letters]
+        distinct, at = np.unique(np.concatenate(contexts), return_inverse=True)
+        sums = [np.bincount(at, weights=_joined(letters, i), minlength=len(distinct)).astype(np.int64) for i in range(2, len(letters[0][1]))]
+        out, done = [], 0
+        for (sender, x), c in zip(letters, contexts, strict=True):
+            here = at[done : done + len(c)][x[-1] > 0]
+            done += len(c)
+            out.append((sender, shard, f"{tag} sums", pack_arrays(*[small(y[here]) for y in sums]), None))
+        return _mail(out)
+
+    return run
+
+
+def _sweep(words: Dictionary, shards: int, sweep: int, g: np.ndarray, o: dict):
+    """All pairs of a shard seated anew, then its classes, then the root."""
+
     def run(state: pa.Table, mail: pa.Table) -> pa.Table:
         shard = state.column("shard")[0].as_py()
         letters = _letters(state) | _letters(mail)
-        hashes, at, mid, count, single, word, kind, tokens = (x.astype(np.int64) if i else x for i, x in enumerate(letters["state"][0][1]))
-        contexts = np.cumsum(hashes, dtype=np.uint64)
+        x = letters["state"][0][1]
+        contexts, names = words.read(*x[:2]), words.read(*x[9:11])
+        at, mid, count, single, word, kind, tokens = (y.astype(np.int64) for y in x[2:9])
         opened = letters.get("opened sums", [])
-        now = letters.get("tables")
-        if now:
-            many, tables, root = (x.astype(np.int64) for x in now[0][1])
-            laid = _joined(opened, 0) + _joined(letters.get("laid sums", []), 0)
+        if sweep:
+            many, tables, root = (y.astype(np.int64) for y in letters[f"tables {sweep - 1}"][0][1])
+            laid = _joined(opened, 0) + _joined(letters.get(f"laid {sweep - 1} sums", []), 0)
         else:
-            many, tables, root = np.ones(len(count), np.int64), None, (tokens > 0).astype(np.int64)
-            laid = _joined(opened, 0) + _joined(opened, 1)
+            many, laid = np.ones(len(count), np.int64), _joined(opened, 0) + _joined(opened, 2)
+            tables, root = None, (tokens > 0).astype(np.int64)
         k = single + np.bincount(mid, weights=many, minlength=len(word)).astype(np.int64)
         tables = (k > 0).astype(np.int64) if tables is None else tables
-        customers = np.bincount(word, weights=tables, minlength=len(tokens))
-        t, rng = Totals(g), np.random.default_rng([o["seed"], shard, sweep])
-        p = root_p(customers, root, t, o)
-        parent = class_p(k, tables, kind, p[word], t, o)
-        many = seat(count, (o["strength"] + o["discount"] * laid[at]) * parent[mid], o["discount"], rng)
+        t, d, d0, a = Totals(g), o["discount"], o["discount0"], o["strength"]
+        salt = (o["seed"] * 1000 + sweep) * 16
+        upper = Upper(k, tables, root, word, kind, len(names), t, o)
+        drawn = lambda shape, keys, j: gamma(shape, keys, salt + j)
+
+        free = drawn(a / d + laid, mix(contexts), 1)
+        many = draw_tables(count, d * free[at] * upper.class_p(mid, many), d, mix(names[word[mid]]) ^ mix(contexts[at] + np.uint64(1)), salt + 4)
         k = single + np.bincount(mid, weights=many, minlength=len(word)).astype(np.int64)
-        tables, customers, root = seat_upper(k, word, kind, p, len(tokens), t, rng, o)
-        rows = [(shard, shard, "tables", pack_arrays(small(many), small(tables), small(root)), None), (-1, shard, "stats", None, totals(k, tables, kind, root, tokens))]
-        return _mail(rows + _to_owners(shard, shards, "laid", contexts, np.bincount(at, weights=many, minlength=len(contexts)).astype(np.int64)))
+        free = drawn(a / d + t.laid, np.arange(CLASSES, dtype=np.uint64), 5)
+        tables = draw_tables(k, d * free[kind] * upper.root_p(tables), d, mix(names[word]) ^ (kind.astype(np.uint64) + np.uint64(1)), salt + 8)
+        customers = np.bincount(word, weights=tables, minlength=len(names)).astype(np.int64)
+        free = drawn(np.array([o["strength0"] / d0 + t.root]), np.zeros(1, np.uint64), 9)
+        root = draw_tables(customers, np.full(len(names), d0 * free[0] / (t.known + 1)), d0, names, salt + 12)
+
+        rows = [(shard, shard, f"tables {sweep}", pack_arrays(small(many), small(tables), small(root)), None), (-1, shard, "stats", None, _totals(k, tables, root, kind, tokens))]
+        return _mail(rows + _to_owners(shard, shards, f"laid {sweep}", words, contexts, np.bincount(at, weights=many, minlength=len(contexts)).astype(np.int64)))
+
+    return run
+
+
+def _reply(words: Dictionary, kept: list[int]):
+    """An owner's answer to all that asked about contexts: customers, and tables after each kept sweep."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shard, letters = table.column("shard")[0].as_py(), _letters(table)
+        opened = letters["opened"]
+        contexts = [words.read(*x[:2]) for _, x in opened]
+        distinct, at = np.unique(np.concatenate(contexts), return_inverse=True)
+        singles, customers = (np.bincount(at, weights=_joined(opened, i), minlength=len(distinct)) for i in (2, 3))
+        laid = []
+        for sweep in kept:
+            total = singles.copy()
+            for _, x in letters.get(f"laid {sweep}", []):
+                total[np.searchsorted(distinct, words.read(*x[:2]))] += x[2]
+            laid.append(total)
+        out, done = [], 0
+        for (sender, _), c in zip(opened, contexts, strict=True):
+            here = at[done : done + len(c)]
+            done += len(c)
+            out.append((sender, shard, "contexts", pack_arrays(*[small(y[here].astype(np.int64)) for y in (customers, *laid)]), None))
+        return _mail(out)
 
     return run
 
 
-def _answer(g: np.ndarray, kept: int, o: dict):
-    """Answers to the chunks: per word its count and tables as a context, per pair c - d t, per
-    pair of word and class its probability."""
+def _rounded(p: np.ndarray) -> np.ndarray:
+    """Single precision with 16 bits of mantissa: a relative error of 8e-6."""
+    x = p.astype(np.float32).view(np.uint32)
+    return ((x + np.uint32(64)) & np.uint32(0xFFFFFF80)).view(np.float32)
+
+
+def _answer(words: Dictionary, kept: list[int], means: list[np.ndarray], o: dict):
+    """Answers to the chunks: training count of each word, averaged probability of each pair."""
 
     def run(asked: pa.Table, mail: pa.Table) -> pa.Table:
         shard = asked.column("shard")[0].as_py()
         order = np.argsort(asked.column("chunk").to_numpy())
-        p = Pairs([asked.column("blob")[int(i)] for i in order])
+        p = Pairs([asked.column("blob")[int(i)] for i in order], words)
         letters = _letters(mail)
-        many, tables, root = (np.mean([x[i] for _, x in letters["tables"]], axis=0) for i in range(3))
-        laid = np.zeros(len(p.words))
-        for tag, share in (("opened", 1.0), ("laid", 1.0 / kept)):
-            for _, x in letters.get(tag, []):
-                laid[np.searchsorted(p.words, np.cumsum(x[0], dtype=np.uint64))] += x[1] * share
-        all_tables = (p.count > 0).astype(np.float64)
-        all_tables[p.many] = many
-        k = np.bincount(p.mid, weights=all_tables, minlength=len(p.mid_word))
-        customers = np.bincount(p.mid_word, weights=tables, minlength=len(p.words))
-        t = Totals(g)
-        parent = class_p(k, tables, p.mid_kind, root_p(customers, root, t, o)[p.mid_word], t, o).astype(np.float32)
-        own = (p.count - o["discount"] * all_tables).astype(np.float32)
+        d, a = o["discount"], o["strength"]
+        customers = _joined(letters["contexts"], 0)[p.context]
+        total = np.zeros(len(p.count))
+        for i, (sweep, g) in enumerate(zip(kept, means, strict=True)):
+            many, tables, root = (x.astype(np.int64) for x in letters[f"tables {sweep}"][0][1])
+            own = (p.count > 0).astype(np.int64)
+            own[p.many] = many
+            k = np.bincount(p.mid, weights=own, minlength=len(p.mid_word))
+            parent = Upper(k, tables, root, p.mid_word, p.mid_kind, len(p.words), Totals(g), o).class_p()
+            total += (p.count - d * own + (a + d * _joined(letters["contexts"], 1 + i)[p.context]) * parent[p.mid]) / (a + customers)
+        mean = _rounded(total / len(kept))
         out, w, q = [], 0, 0
         for nw, np_ in p.sizes:
-            x, y = p.at[w : w + nw], p.of[q : q + np_]
-            out.append(pack_arrays(np.array([shard]), small(p.tokens[x]), laid[x].astype(np.float32), own[y], parent[np.unique(p.mid[y])]))
+            out.append(pack_arrays(np.array([shard]), small(p.tokens[p.at[w : w + nw]]), mean[p.of[q : q + np_]]))
             w, q = w + nw, q + np_
         return pa.table({"chunk": asked.column("chunk").take(pa.array(order)), "answer": pa.array(out, pa.binary())})
 
     return run
 
 
-def _score(shards: int, folds: int, held: int, g: np.ndarray, o: dict):
+def _score(shards: int, folds: int, held: int, g: np.ndarray):
     n, v = g[:2]
-    d, a = o["discount"], o["strength"]
 
     def run(batches):
         for batch in batches:
@@ -359,13 +401,10 @@ def _score(shards: int, folds: int, held: int, g: np.ndarray, o: dict):
                 docs, tokens, out = _chunk(body, folds, held)
                 r = Request(tokens, ~out)
                 got = {int(x[0][0]): x for x in (unpack_arrays(y.as_buffer()) for y in answers.values)}
-                parts = [got[s] for s, _, _ in r.parts(shards)] if len(r.words) else []
-                total, laid, own, parent = (np.concatenate([x[i] for x in parts]).astype(np.float64) for i in (1, 2, 3, 4))
-                u = r.context_of
-                parent = parent[np.unique(r.word_of * CLASSES + r.kind[u], return_inverse=True)[1]]
-                p = (own + (a + d * laid[u]) * parent) / (a + total[u])
-                row, word = tokens.row, r.word_of[r.of]
-                add = lambda x: np.bincount(row, weights=x, minlength=docs.num_rows)
+                parts = [got[s] for s, _, _ in _runs(owner(r.words, shards))]
+                total, p = (np.concatenate([x[i] for x in parts]).astype(np.float64) for i in (1, 2))
+                word = r.word_of[r.of]
+                add = lambda x: np.bincount(tokens.row, weights=x, minlength=docs.num_rows)  # noqa: B023, E731
                 score = add(np.log10(p)[r.of])
                 base = add((np.log10(total + 1) - math.log10(n + v + 1))[word])
                 known = add((total > 0)[word]).astype(np.int64)
@@ -375,14 +414,6 @@ def _score(shards: int, folds: int, held: int, g: np.ndarray, o: dict):
     return run
 
 
-def _by_shard(df: DataFrame) -> DataFrame:
-    """``df`` as a table bucketed by shard: it is read several times and never shuffled."""
-    spark, table = df.sparkSession, f"shards_{uuid.uuid4().hex}"
-    made = df.write.format("parquet").option("compression", "none").option("path", f"{shared_dir(spark)}/{table}")
-    made.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").saveAsTable(table)
-    return spark.table(table)
-
-
 def _summed(mail: DataFrame) -> np.ndarray:
     out = np.zeros(4 + 2 * CLASSES)
     for r in mail.where("tag = 'stats'").select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("x")).collect():
@@ -397,32 +428,40 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, key: str = "doc_id
     Held out are ids whose CRC-32 (of their text) leaves ``held`` modulo ``folds``; all other
     rows are learned from, each as often as it occurs, null ids too.  Null and empty texts are
     one end token.  Without any training token every probability is that of the unknown word.
-    An empty table gives no rows.
+    Other columns, whatever their names, play no part.  An empty table gives no rows.  Strengths
+    are at least their discounts; 0 < discounts < 1.
     """
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    options = {"discount": discount, "strength": strength, "discount0": discount0, "strength0": strength0, "sweeps": sweeps, "burn_in": burn_in, "seed": seed}
-    chunks = chunk_table(docs, "scored")
-    shards = max(1, math.ceil(chunks.count() / CHUNKS_PER_SHARD))
-    sent = _by_shard(one_row_batches(chunks, _send(shards, folds, held), "shard long, chunk long, blob binary"))
-    begun = _by_shard(sent.groupBy("shard").applyInArrow(_open(shards), _MAIL))
-    of = lambda mail, *tags: mail.where(F.col("tag").isin(*tags))
+    o = {"discount": discount, "strength": strength, "discount0": discount0, "strength0": strength0, "seed": seed}
+    chunks = chunk_table(docs, "scored", BYTES)
+    n, buckets = chunks.count(), buckets_for(docs)
+    shards = max(1, math.ceil(n / CHUNKS_PER_SHARD))
+    words = frequent_words(chunks, n)
+    # tables bucketed by shard are read several times and never shuffled
+    sent = bucketed(one_row_batches(chunks, _send(words, shards, folds, held), "shard long, chunk long, blob binary"), "asked", "shard", buckets)
+    begun = bucketed(sent.groupBy("shard").applyInArrow(_open(words, shards), _MAIL), "begun", "shard", buckets)
+    of = lambda mail, tag: mail.where(F.col("tag").startswith(tag))
     state = of(begun, "state")
-    fixed = stash(of(begun, "opened").groupBy("shard").applyInArrow(_sum, _MAIL), "sums")
-    known, g, kept, means = fixed, _summed(begun), [], []
+    fixed = stash(of(begun, "opened").groupBy("shard").applyInArrow(_sum(words), _MAIL), "sums")
+    known, g, kept, means, last = fixed, _summed(begun), [], [], None
     for sweep in range(sweeps):
-        now = stash(state.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_sweep(shards, sweep, g, options), _MAIL), "swept")
-        g = _summed(now)
+        now = stash(state.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_sweep(words, shards, sweep, g, o), _MAIL), "swept")
+        if last is not None and sweep <= burn_in:
+            discard(last)  # nothing reads a sweep of the burn-in after the next one
+        g, last = _summed(now), now
         if sweep >= burn_in:
-            kept.append(of(now, "tables", "laid"))
+            kept.append(now)
             means.append(g)
-        known = fixed.unionByName(of(now, "tables")).unionByName(of(now, "laid").groupBy("shard").applyInArrow(_sum, _MAIL))
-    g = np.mean(means, axis=0)
-    mail = functools.reduce(DataFrame.unionByName, kept, of(begun, "opened"))
-    answers = sent.groupBy("shard").cogroup(mail.groupBy("shard")).applyInArrow(_answer(g, len(kept), options), "chunk long, answer binary")
+        known = fixed.unionByName(of(now, "tables")).unionByName(of(now, "laid").groupBy("shard").applyInArrow(_sum(words), _MAIL))
+    samples = list(range(burn_in, sweeps))
+    laid = functools.reduce(DataFrame.unionByName, [of(x, "laid") for x in kept], of(begun, "opened"))
+    mail = functools.reduce(DataFrame.unionByName, [of(x, "tables") for x in kept], laid.groupBy("shard").applyInArrow(_reply(words, samples), _MAIL))
+    answers = sent.groupBy("shard").cogroup(mail.groupBy("shard")).applyInArrow(_answer(words, samples, means, o), "chunk long, answer binary")
     scored = answered(chunks, answers)
-    return one_row_batches(scored, _score(shards, folds, held, g, options), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return one_row_batches(scored, _score(shards, folds, held, g), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all whole ``documents`` texts; null texts count as empty, repeated rows each get a row."""
     return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
