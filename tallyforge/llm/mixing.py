@@ -97,22 +97,23 @@ def mix(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     text, source = options.get("text", "text"), options.get("source", "source")
     plan = plan.select(F.col("doc_id").alias("_k"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copies").alias("_c"))
     plan = stash(plan.groupBy("_k", "_s", "_z").agg(F.sort_array(F.collect_list("_c"), asc=False).alias("_cs")).where("_cs[0] > 0"), "plan")
-    keyed = docs.withColumns({"_k2": F.col(key), "_s2": F.col(source), "_z2": word_count(F.col(text))})
+    # all columns travel as one struct, so no name of theirs can clash
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("_k2"), F.col(f"`{source}`").alias("_s2"), word_count(F.col(f"`{text}`")).alias("_z2"))
 
     def met(part: DataFrame) -> DataFrame:
-        part = part.hint("shuffle_hash")
         return keyed.join(part, F.col("_k2").eqNullSafe(F.col("_k")) & F.col("_s2").eqNullSafe(F.col("_s")) & (F.col("_z2") == F.col("_z")))
 
-    out = met(plan.where("size(_cs) = 1")).withColumn("_t", F.col("_cs")[0])
+    out = met(plan.where("size(_cs) = 1")).select("row", F.col("_cs")[0].alias("_t"))
     twins = plan.where("size(_cs) > 1")
     if twins.limit(1).count():
         turn = Window.partitionBy("_k2", "_s2", "_z2").orderBy("_z2")
-        several = met(twins).withColumn("_i", F.row_number().over(turn)).withColumn("_t", F.coalesce(F.get("_cs", F.col("_i") - 1), F.lit(0))).drop("_i")
+        several = met(twins).withColumn("_i", F.row_number().over(turn)).select("row", F.coalesce(F.get("_cs", F.col("_i") - 1), F.lit(0)).alias("_t"))
         out = out.unionByName(several.where("_t > 0"))
-    return out.withColumn("_e", F.explode(F.array_repeat(F.lit(1), F.col("_t").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select("row", F.explode(F.array_repeat(F.lit(1), F.col("_t").cast("int")))).select("row.*")
 
 
 def op6_mixing(spark, sf_dir):
+    """The mix of all ``documents``: one row a row; null and empty texts have size 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix_plan(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 

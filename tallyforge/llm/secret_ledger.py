@@ -75,7 +75,7 @@ def scan_unseen(blobs: DataFrame, rules: tuple = RULES, seen: DataFrame | None =
     todo = todo.where(F.size("todo") > 0)
     hits = todo.select("blob", F.posexplode(F.concat(*[_matches(F.col("body"), r) for r in rules])).alias("i", "m"))
     hits = hits.select("blob", "i", "m.*")
-    upto = Window.partitionBy("blob", "rule").orderBy("i")
+    upto = Window.partitionBy("blob", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("len")).over(upto)
     hits = hits.withColumn("end", end).withColumn("start", F.col("end") - F.col("len"))
     return hits.where("ok").select("blob", F.split_part("rule", F.lit("@"), F.lit(1)).alias("kind"), "rule", "start", "end")
@@ -98,7 +98,6 @@ def scan(versions: DataFrame, rules: tuple = RULES, ledger: str | None = None, k
         seen, old = spark.read.parquet(f"{ledger}/scanned"), spark.read.parquet(f"{ledger}/findings")
         known = seen.groupBy("blob").agg(F.collect_set("rule").alias("done"))
         one = one.join(known, "blob", "left").where(F.size(F.array_except(F.array(*[F.lit(r.id) for r in rules]), F.coalesce("done", F.array().cast("array<string>")))) > 0).select("blob", "key")
-    one = one.hint("shuffle_hash")
     # rows that repeat key and text are still several; they lie in one partition already
     picked = rows.join(one, ["blob", "key"], "left_semi").dropDuplicates(["blob", "key"])
     found = scan_unseen(picked.select("blob", "body"), rules, seen).distinct()
@@ -125,51 +124,72 @@ def per_blob(found: DataFrame, rules: tuple = RULES) -> DataFrame:
 
 
 def to_paths(versions: DataFrame, findings: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Findings per blob joined back to every row of ``versions`` (with ``blob``).  The blob of a
-    very large group of copies is salted: its few findings are repeated, its rows are dealt out."""
-    salted = findings.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = [F.col(f"`{c}`") for c, kind in versions.dtypes if kind in ("bigint", "int", "string")]
-    rows = versions.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    return rows.join(salted, ["blob", "_salt"], "left").drop("_salt")
+    """Findings per blob joined back to every row of ``versions`` (row, blob, spread).  The blob of
+    a very large group of copies is salted: its few findings are repeated, its rows are dealt out
+    by ``spread``."""
+    salted = findings.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = versions.withColumn("salt", F.pmod(F.xxhash64("spread"), F.lit(salts)).cast("int")).drop("spread")
+    return rows.join(salted, ["blob", "salt"], "left").drop("salt")
 
 
 def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _rows(versions: DataFrame, key: str, text: str) -> DataFrame:
+    """(row, blob, spread): all columns travel as one struct, so no name of theirs can clash."""
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return versions.select(F.struct(*[F.col(f"`{c}`") for c in versions.columns]).alias("row"), F.sha2(body, 256).alias("blob"), F.struct(F.col(f"`{key}`"), F.monotonically_increasing_id()).alias("spread"))
+
+
 def secrets(versions: DataFrame, rules: tuple = RULES, ledger: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``versions`` with ``blob`` and ``found``: array of (start, o, end, kind).
 
     Null and empty texts have no findings.  Repeated rows and rows with a null key each get
-    the findings of their own text.  Other columns are kept; an empty table gives none.
+    the findings of their own text.  Other columns are kept; where one of them is called
+    ``blob`` or ``found``, ours is called ``blob_`` or ``found_``.  An empty table gives none.
     """
     found = per_blob(scan(versions, rules, ledger, key, text), rules)
-    rows = to_paths(content_address(versions, text), found)
-    return rows.withColumn("found", F.coalesce("found", F.array().cast("array<struct<start:bigint,o:int,end:bigint,kind:string>>")))
+    rows = to_paths(_rows(versions, key, text), found)
+    none = F.array().cast("array<struct<start:bigint,o:int,end:bigint,kind:string>>")
+    return rows.select("row.*", F.col("blob").alias(_free("blob", versions)), F.coalesce("found", none).alias(_free("found", versions)))
+
+
+def _free(name: str, versions: DataFrame) -> str:
+    while name in versions.columns:
+        name += "_"
+    return name
 
 
 def redact(versions: DataFrame, rules: tuple = RULES, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``versions`` with each found span replaced by ``mark`` (overlapping spans by one)."""
+    """``versions`` with each found span replaced by ``mark`` (overlapping spans by one).  Null texts
+    stay null; all columns stay, whatever their names."""
     rows = secrets(versions, rules, None, key, text)
-    body, start = F.col(text), F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    found = F.col(_free("found", versions))
+    body, start = F.col(f"`{text}`"), F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, s):
         piece = F.concat(F.substring(body, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))
         fresh = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(piece))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), fresh.alias("out"))
 
-    done = F.aggregate("found", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, (acc["at"] + 1).cast("int"), 2147483647)))
-    return rows.withColumn(text, F.when(F.size("found") > 0, done).otherwise(body)).select(*[F.col(f"`{c}`") for c in versions.columns])
+    done = F.aggregate(found, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, (acc["at"] + 1).cast("int"), 2147483647)))
+    return rows.withColumn(text, F.when(F.size(found) > 0, done).otherwise(body)).select(*[F.col(f"`{c}`") for c in versions.columns])
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text of ``documents`` (null: empty), one row a row, repeated ones too.
+
+    With ``tallyforge.secrets.ledger`` set in the session, that folder keeps the ledger: what an
+    earlier run scanned isn't scanned again.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     # the join back needs addresses only
-    found = per_blob(scan(docs))
+    found = per_blob(scan(docs, ledger=spark.conf.get("tallyforge.secrets.ledger", None)))
     base = F.filter("found", lambda s: s["o"] < len(BASE))
     count = lambda k: F.size(F.filter("found", lambda s: s["o"] == k)).cast("long")
     found = found.select("blob", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("found")).alias("spans"))
-    rows = to_paths(content_address(docs).select("doc_id", "blob"), found)
+    rows = to_paths(content_address(docs).select("doc_id", "blob", F.struct("doc_id", F.monotonically_increasing_id()).alias("spread")), found)
     zero = F.lit(0).cast("long")
     return rows.select("doc_id", *[F.coalesce(c, zero).alias(c) for c in ("n_assign", "n_access", "n_hex")], F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tallyforge.llm import neardup, quality, substring_dedup
+from tallyforge.llm import mixing, neardup, quality, secret_ledger, substring_dedup
 from tallyforge.llm.common import Stretches, WordBatch
 
 
@@ -93,3 +93,36 @@ def test_keep_one_with_clashing_columns(spark):
     got = sorted((x.doc_id or 0, x.text or "") for x in out.collect())
     assert got == [(0, ""), (0, "p q r s t u"), (1, "a b c d e f g"), (2, "x y z u v w")]
     assert {x._node for x in out.collect()} <= {7, 8, 9, 1, 2}
+
+
+def test_secrets_of_repeated_rows_and_clashing_columns(spark):
+    text = "see password = 'abcdefghijkl' ok"
+    rows = [(1, text, "a", "b", 3), (1, text, "a", "b", 3), (None, text, "c", None, 4), (None, text, None, "d", None), (2, None, "e", "f", 5), (2, "", "e", "f", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, blob string, found string, _salt int").selectExpr("*", "1 AS row", "2 AS spread", "3 AS salt")
+    out = secret_ledger.secrets(docs).collect()
+    assert len(out) == 6 and out[0].__fields__[-2:] == ["blob_", "found_"]
+    for r in out:
+        assert [(s.kind, s.start, s.end) for s in r.found_] == ([("assign", 4, 28)] if r.text else [])
+    clean = secret_ledger.redact(docs)
+    assert clean.columns == docs.columns
+    got = sorted(((r.doc_id or 0, r.text or "", r.blob or "", r.found or "", r._salt or 0) for r in clean.collect()))
+    assert got == sorted((d or 0, "see [SECRET]' ok" if t else "", b or "", f or "", s or 0) for d, t, b, f, s in rows)
+
+
+def test_ledger_scans_nothing_twice(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"token: {'x' * 14}{i}") for i in range(9)], "doc_id long, text string")
+    ledger = f"file://{tmp_path}/ledger"
+    first = secret_ledger.secrets(docs, ledger=ledger).collect()
+    n = spark.read.parquet(f"{ledger}/scanned").count()
+    again = secret_ledger.secrets(docs, ledger=ledger).collect()
+    assert spark.read.parquet(f"{ledger}/scanned").count() == n == 9 * len(secret_ledger.RULES)
+    assert sorted(map(str, first)) == sorted(map(str, again))
+
+
+def test_mix_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 5), "s", 7) for i in range(40)] + [(None, None, None, 8)] * 3, "doc_id long, text string, source string, _e int")
+    docs = docs.selectExpr("*", "1 AS _t", "2 AS _k2", "3 AS _k", "4 AS _c", "5 AS _z2", "6 AS row", "7 AS _s2")
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns
+    assert {(r._t, r._k2, r._k, r._c, r._z2, r.row, r._s2) for r in out.collect()} == {(1, 2, 3, 4, 5, 6, 7)}
+    assert {r._e for r in out.collect()} <= {7, 8}
