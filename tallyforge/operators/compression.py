@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import component_verdict, risk_verdict
+from . import resample
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -52,38 +53,17 @@ def cluster_sums(df: DataFrame, cluster: str = "cluster") -> DataFrame:
     return common.groupBy(cluster).agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("compact_loss")).alias("wc"), F.sum(F.col("weight") * F.col("reference_loss")).alias("wr"))
 
 
-def bootstrap_interval(df: DataFrame, cluster: str = "cluster", draws: int = 2000, seed: int = 0, root: bool = False, parts: int = 16) -> DataFrame:
-    """(n_clusters, low, high): percentile interval of the risk gap, clusters drawn with replacement.
-
-    With few clusters the multinomial draws are numpy's; beyond ``parts`` million of them each
-    cluster draws Poisson counts where it lies, which needs no gathering.  Null under two
-    clusters or rows.
-    """
+def bootstrap_interval(df: DataFrame, cluster: str = "cluster", draws: int = 2000, seed: int = 0, root: bool = False) -> DataFrame:
+    """(n_clusters, low, high): percentile interval of the risk gap, whole clusters drawn with
+    replacement (``resample``).  Null under two clusters or rows."""
     sums = cluster_sums(df, cluster)
     n, rows = sums.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    spark = df.sparkSession
-    schema = "n_clusters long, low double, high double"
-    if n < 2 or rows < 2:
-        return spark.createDataFrame([(n, None, None)], schema)
-    if n <= 100_000:
-        s = np.array(sums.orderBy("first").select("w", "wc", "wr").collect(), float)
-        rng = np.random.default_rng(seed)
-        gaps = np.empty(draws)
-        for i in range(draws):
-            w, c, r = s[rng.integers(0, n, n)].sum(axis=0)
-            gaps[i] = np.sqrt(c / w) - np.sqrt(r / w) if root else (c - r) / w
-    else:
-        def partial(batches):
-            import pandas as pd
-
-            for pdf in batches:
-                k = np.random.default_rng([seed, int(pdf["first"].iloc[0])]).poisson(1.0, (draws, len(pdf)))
-                yield pd.DataFrame({"draw": np.arange(draws), **{c: k @ pdf[c].to_numpy() for c in ("w", "wc", "wr")}})
-
-        drawn = sums.select("first", "w", "wc", "wr").mapInPandas(partial, "draw long, w double, wc double, wr double").groupBy("draw").agg(*[F.sum(c).alias(c) for c in ("w", "wc", "wr")])
-        w, c, r = np.array(drawn.select("w", "wc", "wr").collect(), float).T
-        gaps = np.sqrt(c / w) - np.sqrt(r / w) if root else (c - r) / w
-    return spark.createDataFrame([(n, float(np.percentile(gaps, 2.5)), float(np.percentile(gaps, 97.5)))], schema)
+    low = high = None
+    if n >= 2 and rows >= 2:
+        w, c, r = resample.resampled_sums(sums, cluster, ["w", "wc", "wr"], draws, seed).T
+        with np.errstate(invalid="ignore", divide="ignore"):
+            low, high = resample.percentiles(np.sqrt(c / w) - np.sqrt(r / w) if root else (c - r) / w)
+    return df.sparkSession.createDataFrame([(n, low, high)], "n_clusters long, low double, high double")
 
 
 def audit_pair(df: DataFrame, risk_tolerance: float = 0.0, support_tolerance: float = 0.05, weighted_tolerance: float = 0.05, draws: int = 2000, seed: int = 0, root: bool = False) -> DataFrame:

@@ -95,3 +95,12 @@ def control_efficacy(report: DataFrame, pairs: DataFrame, neutral: float = 0.15)
     met = pairs.join(a, "raw").join(b, "control")
     less = F.col("raw_score") - F.col("control_score")
     return met.select("raw", "control", "raw_score", "control_score", less.alias("reduction"), F.when(F.col("raw_score") > 0, less / F.col("raw_score")).alias("relative_reduction"), (F.col("control_score") < neutral).alias("neutralized"))
+
+
+def linear_forecast(df: DataFrame, unit: str, x: str, y: str, start: float, least: int = 3) -> DataFrame:
+    """Each unit's rows from ``start`` on with the value that a line through its earlier rows (at
+    least ``least``) forecasts, and the absolute error: the cheap baseline of a forecast."""
+    line = df.where(F.col(x) < start).groupBy(unit).agg(F.regr_slope(F.col(y), F.col(x)).alias("_b"), F.regr_intercept(F.col(y), F.col(x)).alias("_a"), F.count(F.lit(1)).alias("_n"))
+    met = df.where(F.col(x) >= start).join(line.where(F.col("_n") >= least), unit)
+    forecast = F.col("_a") + F.col("_b") * F.col(x)
+    return met.withColumns({"forecast": forecast, "error": F.abs(forecast - F.col(y))}).drop("_a", "_b", "_n")
