@@ -16,6 +16,8 @@ def _written(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not own and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(own or tempfile.mkdtemp(prefix="tallyforge-"))
     return df.checkpoint(eager=True)
 

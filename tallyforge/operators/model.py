@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,39 +69,60 @@ def _linear(model: tuple[float, np.ndarray], x: list[str]) -> Column:
     return reduce(lambda s, t: s + t, [F.col(c).cast("double") * float(v) for c, v in zip(x, w, strict=True)], F.lit(b))
 
 
-def held_out_ridge(df: DataFrame, batch: str, inner: str, x: list[str], y: str, alphas: tuple = (0.01, 0.1, 1.0, 10.0, 100.0)) -> DataFrame:
+def balanced_folds(sizes: dict[str, float], k: int) -> dict[str, int]:
+    """Whole groups dealt to ``k`` folds: the largest first, each to the fold with least rows."""
+    load, out = [0.0] * k, {}
+    for g in sorted(sizes, key=lambda g: (-sizes[g], g)):
+        f = load.index(min(load))
+        load[f] += sizes[g]
+        out[g] = f
+    return out
+
+
+def held_out_ridge(df: DataFrame, batch: str, inner: str, x: list[str], y: str, alphas: tuple = (0.01, 0.1, 1.0, 10.0, 100.0), folds: int = 5) -> DataFrame:
     """``df`` with ``prediction`` and ``alpha``: each batch predicted by a model of the others.
 
-    The alpha of a batch is the one of least squared error when each inner group of the other
-    batches is left out in turn; ties go to the smaller.  Sums of (batch, inner) cells are
-    enough for every one of these fits.
+    The alpha of a batch is the one of least inner error: the other batches' inner groups are
+    dealt to ``folds`` folds, each is predicted by the rest, and the mean absolute errors of the
+    inner groups are averaged; ties go to the smaller alpha.  Sums of (batch, inner) cells are
+    enough for all fits, and one more pass for all errors.  A batch whose others have one inner
+    group only takes the smallest alpha.
     """
     cell = df.withColumn("_cell", F.concat_ws("\x1f", F.col(batch).cast("string"), F.col(inner).cast("string")))
     m = moments(cell, "_cell", x, y)
     part = {k: tuple(k.split("\x1f")) for k in m}
-    out = F.lit(None).cast("double")
-    chosen = F.lit(None).cast("double")
+    alphas = tuple(sorted(alphas))
+    fits, errors = {}, {}
     for b in sorted({p[0] for p in part.values()}):
         train = [k for k in m if part[k][0] != b]
         if not train:
             continue
-        total = sum(m[k] for k in train)
-        groups = sorted({part[k][1] for k in train})
-        best = (np.inf, alphas[0])
-        for alpha in sorted(alphas):
-            error = 0.0
-            for g in groups:
-                held = sum(m[k] for k in train if part[k][1] == g)
-                if (total - held)[0, 0] < 2:
-                    continue
-                c, w = ridge(total - held, alpha)
-                v = np.concatenate([[c], w, [-1.0]])
-                error += v @ held @ v  # the squared errors of the held-out rows
-            if error < best[0] - 1e-12:
-                best = (error, alpha)
-        model = ridge(total, best[1])
+        total, sizes = sum(m[k] for k in train), {}
+        for k in train:
+            sizes[part[k][1]] = sizes.get(part[k][1], 0) + m[k][0, 0]
+        fits[b] = {a: ridge(total, a) for a in alphas}
+        n = min(folds, len(sizes))
+        if n < 2:
+            continue
+        of = balanced_folds(sizes, n)
+        rest = [total - sum(m[k] for k in train if of[part[k][1]] == f) for f in range(n)]
+        fold = F.coalesce(F.create_map(*[F.lit(v) for kv in of.items() for v in kv])[F.col(inner).cast("string")], F.lit(-1))
+        for a in alphas:
+            predicted = F.lit(None).cast("double")
+            for f in range(n):
+                predicted = F.when(fold == f, _linear(ridge(rest[f], a), x)).otherwise(predicted)
+            errors[b, a] = F.avg(F.when(F.col(batch).cast("string") != b, F.abs(predicted - F.col(y))))
+    best = {b: alphas[0] for b in fits}
+    if errors:
+        names = {k: f"e{i}" for i, k in enumerate(errors)}
+        per = df.groupBy(inner).agg(*[c.alias(names[k]) for k, c in errors.items()])
+        row = per.agg(*[F.avg(n).alias(n) for n in names.values()]).first()  # batches x alphas numbers
+        for b in {b for b, _ in errors}:
+            best[b] = min(alphas, key=lambda a: (row[names[b, a]], a))
+    out = chosen = F.lit(None).cast("double")
+    for b, models in fits.items():
         here = F.col(batch).cast("string") == b
-        out, chosen = F.when(here, _linear(model, x)).otherwise(out), F.when(here, F.lit(best[1])).otherwise(chosen)
+        out, chosen = F.when(here, _linear(models[best[b]], x)).otherwise(out), F.when(here, F.lit(best[b])).otherwise(chosen)
     return df.withColumns({"prediction": out, "alpha": chosen})
 
 
@@ -134,11 +156,26 @@ def recoverability(df: DataFrame, label: str, vector: str, key: str, folds: int
     return row.withColumn("score", score).withColumn("severity", severity(F.col("score")))
 
 
-def knn(train: DataFrame, test: DataFrame, key: str, x: list[str], y: str, k: int = 5) -> DataFrame:
-    """(key, prediction): the mean target of the ``k`` nearest training rows (a small table)."""
-    t = train.select(F.col(key).alias("_t"), F.col(y).alias("_y"), *[F.col(c).alias(f"_{c}") for c in x])
-    d = reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in x])
-    packed = t.agg(F.collect_list(F.struct("_t", "_y", *[f"_{c}" for c in x])).alias("rows"))
-    met = test.select(key, *x).join(F.broadcast(packed)).select(key, *x, F.inline("rows"))
-    w = Window.partitionBy(key).orderBy("_d", "_t")
-    return met.withColumn("_d", d).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).groupBy(key).agg(F.avg("_y").alias("prediction"))
+def knn(train: DataFrame, test: DataFrame, key: str, x: list[str], y: str, k: int = 5, most: int = 100_000) -> DataFrame:
+    """(key, prediction): the mean target of the ``k`` nearest training rows, ties to smaller keys.
+
+    The training rows are checked to be ``most`` at most and go to all tasks as arrays; test rows
+    stay where they are, each batch against blocks of training rows.
+    """
+    rows = train.select(F.col(key).cast("long"), F.col(y).cast("double"), *[F.col(c).cast("double") for c in x]).limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        raise ValueError(f"over {most} training rows: use a model that is fitted")
+    keys, target = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    points = np.stack([rows.column(i + 2).to_numpy() for i in range(len(x))], axis=1) if rows.num_rows else np.zeros((0, len(x)))
+
+    def run(batches):
+        for pdf in batches:
+            at, found = pdf[x].to_numpy(float), []
+            for i in range(0, len(at), 256):
+                d = ((at[i : i + 256, None, :] - points[None]) ** 2).sum(axis=2)
+                for row in d:
+                    near = np.lexsort((keys, row))[:k]
+                    found.append(target[near].mean() if len(near) else None)
+            yield pd.DataFrame({key: pdf[key], "prediction": pd.array(found, dtype="Float64")})
+
+    return test.select(F.col(key).cast("long").alias(key), *[F.col(c).cast("double").alias(c) for c in x]).mapInPandas(run, f"`{key}` long, prediction double")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..operators import downstream, features, probe, resample
+from ..operators import downstream, features, model, probe, resample
+from ..sources import schema
 from .base import R5, query, r5, rounded, table
 
 # --- outcomes: a supplier's shipments as a record of capacities by cycle
@@ -258,3 +259,34 @@ def linear_forecast(spark, sf_dir):
     s = e.groupBy("user_id", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("day")).agg(F.sum((F.col("value") * 100).cast("long")).cast("double").alias("y"))
     out = probe.linear_forecast(s, "user_id", "day", "y", 20, 3)
     return out.select("user_id", "day", r5(F.col("forecast") / 1000).alias("forecast"), r5(F.col("error") / 1000).alias("error"))
+
+
+@query("knn_regression", f"""WITH s AS (SELECT s_suppkey AS k, s_nationkey::DOUBLE AS x, s_acctbal AS y FROM supplier), r AS (SELECT a.k, b.y, row_number() OVER (PARTITION BY a.k ORDER BY (a.x - b.x) * (a.x - b.x), b.k) AS n FROM s a, s b)
+SELECT k AS s_suppkey, {R5('avg(y) / 100')} AS prediction FROM r WHERE n <= 5 GROUP BY k""")
+def knn_regression(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("double").alias("n"), "s_acctbal")
+    return model.knn(s, s, "s_suppkey", ["n"], "s_acctbal").select("s_suppkey", r5(F.col("prediction") / 100).alias("prediction"))
+
+
+@query("model_registry")
+def model_registry(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 3).alias("fold"), F.array(F.col("s_nationkey").cast("double"), (F.col("s_suppkey") % 7).cast("double")).alias("x"), "s_acctbal")
+    rows = []
+    for name in ("ridge", "forest", "gradient_boosting"):
+        done = probe.held_out_predictions(s, "fold", "x", "s_acctbal", name)
+        rows.append(done.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("prediction") - F.col("s_acctbal"))).alias("mae")).withColumn("model", F.lit(name)))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+# --- schemas
+
+_SCHEMAS = {"event.json": {"type": "object", "required": ["k", "kind"], "additionalProperties": False, "properties": {"k": {"$ref": "parts.json#/$defs/small"}, "kind": {"enum": ["error", "purchase", "click"]}}}, "parts.json": {"$defs": {"small": {"type": "integer", "maximum": 60}}}}
+
+
+@query("schema_errors", """WITH e AS (SELECT event_id, (props->>'$.k')::INT AS k, event_type AS t FROM events), x AS (
+  SELECT event_id, '$.k' AS path, 'breaks maximum 60' AS message FROM e WHERE k > 60 UNION ALL SELECT event_id, '$.kind', 'is not one of the values allowed' FROM e WHERE event_id % 4 > 0 AND t NOT IN ('error', 'purchase', 'click')
+  UNION ALL SELECT event_id, '$', 'lacks kind' FROM e WHERE event_id % 4 = 0 UNION ALL SELECT event_id, '$.extra', 'is not allowed' FROM e WHERE event_id % 4 = 0) SELECT * FROM x""")
+def schema_errors(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    whole = F.concat(F.lit('{"k": '), F.col("k"), F.when(F.col("event_id") % 4 == 0, ', "extra": 1}').otherwise(F.concat(F.lit(', "kind": "'), F.col("event_type"), F.lit('"}'))))
+    return schema.schema_errors(e.select("event_id", whole.alias("d")), "event_id", "d", _SCHEMAS, "event.json")

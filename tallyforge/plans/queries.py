@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..operators import compression, conformance, features, grammar, graph, integrity, model
+from ..operators import compression, conformance, features, grammar, graph, integrity, model, probe
 from ..sources import spectra, strict_json
 from .base import QUERIES, R5, SQL, query, r5, rounded, table
 
@@ -70,6 +70,15 @@ def conformance_level(spark, sf_dir):
     return g.select("level", F.col("l0_event_count").alias("event_count"), F.col("l1_logged_axes").alias("logged_axes"), F.col("l1_min_units").alias("min_units"), F.col("l2_negatives").alias("negatives"), F.col("l3_replicated").alias("replicated"), F.col("l3_varied_groups").alias("varied_groups"), "success_bias_risk", "few_units_risk")
 
 
+@query("selection_risk", DAILY + f"""SELECT event_count, {R5('status_fraction')} AS status_fraction, {R5('negatives / event_count')} AS negative_fraction, min_units,
+  CASE WHEN round(status_fraction, 3) < 0.9 THEN 'unknown_outcomes_not_recorded' WHEN negatives = 0 THEN 'high_no_negatives_recorded' WHEN negatives < 0.05 * greatest(event_count, 1) THEN 'elevated_few_negatives' ELSE 'low_negatives_present' END AS success_bias_risk,
+  CASE WHEN logged_axes = 0 THEN 'none_logged' WHEN min_units BETWEEN 1 AND 4 THEN 'high' ELSE 'lower' END AS few_units_risk FROM l0p, l1, l2""")
+def selection_risk(spark, sf_dir):
+    g = conformance.grade(daily_events(spark, sf_dir))
+    out = g.select(F.col("l0_event_count").alias("event_count"), F.col("l2_status_fraction").alias("status_fraction"), (F.col("l2_negatives") / F.col("l0_event_count")).alias("negative_fraction"), F.col("l1_min_units").alias("min_units"), "success_bias_risk", "few_units_risk")
+    return rounded(out, "status_fraction", "negative_fraction")
+
+
 @query("conformance_l0", DAILY + f"SELECT event_count, multi_obs, median_obs, unique_ids, {R5('payload_fraction')} AS payload_fraction, {R5('orderable_fraction')} AS orderable_fraction, passed FROM l0p")
 def conformance_l0(spark, sf_dir):
     return rounded(conformance.level0(daily_events(spark, sf_dir)), "payload_fraction", "orderable_fraction")
@@ -578,9 +587,16 @@ def leakage(spark, sf_dir):
     return rounded(row, "balanced_accuracy", "score")
 
 
+@query("centroid_recoverability")
+def centroid_recoverability(spark, sf_dir):
+    return model.recoverability(table(spark, sf_dir, "embeddings"), "label", "embedding", "vec_id")
+
+
 @query("recoverability_probe")
 def recoverability_probe(spark, sf_dir):
-    return model.recoverability(table(spark, sf_dir, "embeddings"), "label", "embedding", "vec_id")
+    """Scaled class-balanced logistic models on principal components, three folds."""
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null and label is not null")
+    return probe.audit(e, {"embedding": "embedding"}, "label", "vec_id", components=8)
 
 
 @query("group_folds", """SELECT o_custkey, (CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END)::INT AS fold FROM (SELECT o_custkey, row_number() OVER (ORDER BY count(*) DESC, o_custkey) - 1 AS r FROM orders GROUP BY o_custkey)""")
