@@ -101,6 +101,7 @@ def mix(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("_k2"), F.col(f"`{source}`").alias("_s2"), word_count(F.col(f"`{text}`")).alias("_z2"))
 
     def met(part: DataFrame) -> DataFrame:
+        part = part.hint("merge")  # it spills, and is the plan of every size
         return keyed.join(part, F.col("_k2").eqNullSafe(F.col("_k")) & F.col("_s2").eqNullSafe(F.col("_s")) & (F.col("_z2") == F.col("_z")))
 
     out = met(plan.where("size(_cs) = 1")).select("row", F.col("_cs")[0].alias("_t"))

@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD,
     members = stash(met.join(popular, "node").select("bucket", "node", "n", "pop"), "members")
 
     inner = nodes.join(members.select("node").distinct(), "node", "left_semi").select("first", "node")
-    wanted = inner.select(F.col("first").alias("doc_id")).distinct()
+    wanted = inner.select(F.col("first").alias("doc_id")).distinct().hint("merge")
     sets = _sets(docs.join(wanted, "doc_id", "left_semi"), words).groupBy("node").agg(F.first("set").alias("set"), F.first("cells").alias("cells"))
     sets = stash(sets.join(members.select("node").distinct(), "node", "left_semi"), "sets")
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold
@@ -269,7 +269,7 @@ def keep_one(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD, key: s
     """
     found = stash(near_duplicates(docs, words, threshold, key, text), "kept")
     ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("any"))
-    once = ids.where("n = 1 and doc_id is not null and any").select(F.col("doc_id").alias("_id"))
+    once = ids.where("n = 1 and doc_id is not null and any").select(F.col("doc_id").alias("_id")).hint("merge")  # it spills, and is the plan of every size
     out = docs.join(once, docs[key] == once["_id"], "left_semi")
     again = ids.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
     if not again.limit(1).count():

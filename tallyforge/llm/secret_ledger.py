@@ -99,7 +99,7 @@ def scan(versions: DataFrame, rules: tuple = RULES, ledger: str | None = None, k
         known = seen.groupBy("blob").agg(F.collect_set("rule").alias("done"))
         one = one.join(known, "blob", "left").where(F.size(F.array_except(F.array(*[F.lit(r.id) for r in rules]), F.coalesce("done", F.array().cast("array<string>")))) > 0).select("blob", "key")
     # rows that repeat key and text are still several; they lie in one partition already
-    picked = rows.join(one, ["blob", "key"], "left_semi").dropDuplicates(["blob", "key"])
+    picked = rows.join(one.hint("merge"), ["blob", "key"], "left_semi").dropDuplicates(["blob", "key"])
     found = scan_unseen(picked.select("blob", "body"), rules, seen).distinct()
     if not ledger:
         return found
