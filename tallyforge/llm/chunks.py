@@ -107,7 +107,9 @@ def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
     path = f"{shared_dir(spark)}/{table}"
     df.write.format("parquet").option("compression", "none").option("path", path).bucketBy(buckets, by).saveAsTable(table)
     keep_track(path, table)
-    return spark.table(table)
+    out = spark.table(table)
+    out.stash_path = path, table
+    return out
 
 
 def one_row_batches(df: DataFrame, run, schema: str) -> DataFrame:

@@ -73,10 +73,12 @@ def cleanup(spark: SparkSession) -> int:
 
 
 def discard(df: DataFrame) -> None:
-    """Remove a stashed table that nothing reads any more."""
-    path = df.stash_path
+    """Remove a table of ``stash`` or ``chunks.bucketed`` that nothing reads any more."""
+    path, table = df.stash_path
+    if table:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     remove(df.sparkSession, path)
-    _made.remove((path, None))
+    _made.remove((path, table))
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -87,7 +89,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     keep_track(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.stash_path = path
+    out.stash_path = path, None
     return out
 
 

@@ -24,6 +24,10 @@ numbers are hashes of what they are drawn for, so scores don't depend on the num
 At last each shard answers a chunk's pairs with their averaged probabilities, and the chunk
 adds them up over every token of every text.
 
+An owner keeps the first letter of each shard, which names its contexts; later letters are bare
+numbers in the same order.  What a shard keeps for itself lies in tables bucketed by shard, so
+from sweep to sweep only letters and their answers move.
+
 A dictionary of frequent words (from a few chunks, of bounded size) shortens what is sent; it
 changes no result.
 """
@@ -36,11 +40,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import answered, bucketed, buckets_for, chunk_table, one_row_batches, pack_arrays, unpack_arrays, unpack_stream
-from .common import WordBatch, discard, mix, stash
+from .common import WordBatch, discard, mix
 from .seating import draw_tables, gamma
 
 CLASSES = 1024  # in the last ten bits of a word's hash
@@ -156,9 +161,9 @@ def _send(words: Dictionary, shards: int, folds: int, held: int):
                     x, y = r.edges[a], r.edges[b]
                     u, at = np.unique(r.context_of[x:y], return_inverse=True)
                     blob = pack_arrays(*words.write(r.words[a:b]), small(np.diff(r.edges[a : b + 1])), *words.write(r.words[u]), small(at), small(r.count[x:y]))
-                    rows.append((s, chunk, blob))
+                    rows.append((s, chunk, "asked", blob, None))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["shard", "chunk", "blob"])
+                    yield from _table(rows, _ASKED).to_batches()
 
     return run
 
@@ -229,32 +234,26 @@ class Upper:
 
 
 _MAIL = "shard long, sender long, tag string, blob binary, stats array<double>"
+_ASKED = "shard long, chunk long, tag string, blob binary, stats array<double>"
+_KEPT = "shard long, receiver long, tag string, blob binary, stats array<double>"  # by the shard that wrote it
 
 
-def _mail(rows: list) -> pa.Table:
+def _table(rows: list, names: str) -> pa.Table:
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.float64()))
-    names = ("shard", "sender", "tag", "blob", "stats")
+    names = [x.split()[0] for x in names.split(", ")]
     return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
 
 
-def _to_owners(shard: int, shards: int, tag: str, words: Dictionary, contexts: np.ndarray, *numbers: np.ndarray) -> list:
-    """Numbers of contexts (in order of hash) to the shards that own the contexts."""
-    return [(s, shard, tag, pack_arrays(*words.write(contexts[a:b]), *[small(x[a:b]) for x in numbers]), None) for s, a, b in _runs(owner(contexts, shards))]
-
-
-def _letters(table: pa.Table) -> dict:
+def _letters(*tables: pa.Table) -> dict:
     """By tag, the contents in order of sender."""
     out: dict[str, list] = {}
-    for sender, tag, blob in sorted(zip(table.column("sender").to_pylist(), table.column("tag").to_pylist(), table.column("blob"), strict=True), key=lambda r: r[:2]):
+    rows = [r for t in tables for r in zip(t.column(1).to_pylist(), t.column("tag").to_pylist(), t.column("blob"), strict=True)]
+    for sender, tag, blob in sorted(rows, key=lambda r: r[:2]):
         if blob.is_valid:
             out.setdefault(tag, []).append((sender, unpack_arrays(blob.as_buffer())))
     return out
 
 
-def _joined(letters: list, i: int) -> np.ndarray:
-    return np.concatenate([x[i] for _, x in letters]).astype(np.float64) if letters else np.zeros(0)
-
-
 def _open(words: Dictionary, shards: int):
     """The first state of a shard: each pair has one table.  Owners of contexts hear of tables that
     stay, customers, and pairs that will be seated."""
@@ -267,30 +266,60 @@ def _open(words: Dictionary, shards: int):
         state = pack_arrays(*words.write(p.contexts[here]), small(at), small(p.mid[p.many]), small(p.count[p.many]), small(p.single), small(p.mid_word), p.mid_kind.astype(np.uint16), small(p.tokens), *words.write(p.words))
         k = p.single + np.bincount(p.mid[p.many], minlength=len(p.mid_word))
         tables, root = (k > 0).astype(np.int64), (p.tokens > 0).astype(np.int64)
-        stats = _totals(k, tables, root, p.mid_kind, p.tokens)
-        rows = [(shard, shard, "state", state, None), (-1, shard, "stats", None, stats)]
-        return _mail(rows + _to_owners(shard, shards, "opened", words, p.contexts, p.of_context(p.count == 1), p.of_context(p.count), p.of_context(p.count > 1)))
+        rows = [(shard, shard, "state", state, None), (-1, shard, "stats", None, _totals(k, tables, root, p.mid_kind, p.tokens))]
+        numbers = [p.of_context(x) for x in (p.count == 1, p.count, p.count > 1)]
+        for s, a, b in _runs(owner(p.contexts, shards)):
+            blob = pack_arrays(*words.write(p.contexts[a:b]), *[small(x[a:b]) for x in numbers])
+            rows.append((s, shard, "opened", blob, None))
+        return _table(rows, _MAIL)
 
     return run
 
 
-def _sum(words: Dictionary):
-    """Letters to an owner, answered by the sums of each number over all that wrote; for contexts
-    of which the writer has a pair to seat."""
+class Address:
+    """What the first letters to an owner name: the distinct contexts, and where those of each sender are."""
+
+    def __init__(self, opened: list, words: Dictionary):
+        self.opened, lists = opened, [words.read(*x[:2]) for _, x in opened]
+        self.distinct, at = np.unique(np.concatenate(lists), return_inverse=True)
+        self.at = dict(zip([s for s, _ in opened], np.split(at, np.cumsum([len(c) for c in lists])[:-1]), strict=True))
+        self.seated = {s: self.at[s][x[4] > 0] for s, x in opened}
+
+    def first(self, i: int) -> np.ndarray:
+        """Sums of the numbers that the first letters bring."""
+        out = np.zeros(len(self.distinct), np.int64)
+        for s, x in self.opened:
+            out[self.at[s]] += x[i].astype(np.int64)
+        return out
+
+    def later(self, letters: list) -> np.ndarray:
+        """Sums of later letters: one number for each context of which the sender has a pair to seat."""
+        out = np.zeros(len(self.distinct), np.int64)
+        for s, x in letters:
+            out[self.seated[s]] += x[0].astype(np.int64)
+        return out
+
+
+def _first_sums(words: Dictionary):
+    """The sums of tables that stay and of pairs that will be seated, to all that have a pair to seat."""
 
     def run(table: pa.Table) -> pa.Table:
-        tag = table.column("tag")[0].as_py()
-        letters = _letters(table)[tag]
-        shard = table.column("shard")[0].as_py()
-        contexts = [words.read(*x[:2]) for _, x in letters]
-        distinct, at = np.unique(np.concatenate(contexts), return_inverse=True)
-        sums = [np.bincount(at, weights=_joined(letters, i), minlength=len(distinct)).astype(np.int64) for i in range(2, len(letters[0][1]))]
-        out, done = [], 0
-        for (sender, x), c in zip(letters, contexts, strict=True):
-            here = at[done : done + len(c)][x[-1] > 0]
-            done += len(c)
-            out.append((sender, shard, f"{tag} sums", pack_arrays(*[small(y[here]) for y in sums]), None))
-        return _mail(out)
+        shard, a = table.column("shard")[0].as_py(), Address(_letters(table)["opened"], words)
+        single, seated = a.first(2), a.first(4)
+        return _table([(s, shard, "opened sums", pack_arrays(small(single[at]), small(seated[at])), None) for s, at in a.seated.items() if len(at)], _MAIL)
+
+    return run
+
+
+def _sums(words: Dictionary, tag: str):
+    """The sums of the tables laid in a sweep, to the same."""
+
+    def run(opened: pa.Table, laid: pa.Table) -> pa.Table:
+        if not laid.num_rows:
+            return _table([], _MAIL)
+        shard, a = opened.column("shard")[0].as_py(), Address(_letters(opened)["opened"], words)
+        total = a.later(_letters(laid)[tag])
+        return _table([(s, shard, f"{tag} sums", pack_arrays(small(total[at])), None) for s, at in a.seated.items() if len(at)], _MAIL)
 
     return run
 
@@ -300,16 +329,17 @@ def _sweep(words: Dictionary, shards: int, sweep: int, g: np.ndarray, o: dict):
 
     def run(state: pa.Table, mail: pa.Table) -> pa.Table:
         shard = state.column("shard")[0].as_py()
-        letters = _letters(state) | _letters(mail)
+        letters = _letters(state, mail)
         x = letters["state"][0][1]
         contexts, names = words.read(*x[:2]), words.read(*x[9:11])
         at, mid, count, single, word, kind, tokens = (y.astype(np.int64) for y in x[2:9])
         opened = letters.get("opened sums", [])
+        joined = lambda letters, i: np.concatenate([x[i] for _, x in letters]).astype(np.float64) if letters else np.zeros(0)
         if sweep:
             many, tables, root = (y.astype(np.int64) for y in letters[f"tables {sweep - 1}"][0][1])
-            laid = _joined(opened, 0) + _joined(letters.get(f"laid {sweep - 1} sums", []), 0)
+            laid = joined(opened, 0) + joined(letters.get(f"laid {sweep - 1} sums", []), 0)
         else:
-            many, laid = np.ones(len(count), np.int64), _joined(opened, 0) + _joined(opened, 2)
+            many, laid = np.ones(len(count), np.int64), joined(opened, 0) + joined(opened, 1)
             tables, root = None, (tokens > 0).astype(np.int64)
         k = single + np.bincount(mid, weights=many, minlength=len(word)).astype(np.int64)
         tables = (k > 0).astype(np.int64) if tables is None else tables
@@ -327,8 +357,10 @@ def _sweep(words: Dictionary, shards: int, sweep: int, g: np.ndarray, o: dict):
         free = drawn(np.array([o["strength0"] / d0 + t.root]), np.zeros(1, np.uint64), 9)
         root = draw_tables(customers, np.full(len(names), d0 * free[0] / (t.known + 1)), d0, names, salt + 12)
 
-        rows = [(shard, shard, f"tables {sweep}", pack_arrays(small(many), small(tables), small(root)), None), (-1, shard, "stats", None, _totals(k, tables, root, kind, tokens))]
-        return _mail(rows + _to_owners(shard, shards, f"laid {sweep}", words, contexts, np.bincount(at, weights=many, minlength=len(contexts)).astype(np.int64)))
+        rows = [(shard, shard, f"tables {sweep}", pack_arrays(small(many), small(tables), small(root)), None), (shard, -1, "stats", None, _totals(k, tables, root, kind, tokens))]
+        per = np.bincount(at, weights=many, minlength=len(contexts)).astype(np.int64)
+        rows += [(shard, s, f"laid {sweep}", pack_arrays(small(per[x:y])), None) for s, x, y in _runs(owner(contexts, shards))]
+        return _table(rows, _KEPT)
 
     return run
 
@@ -336,24 +368,11 @@ def _sweep(words: Dictionary, shards: int, sweep: int, g: np.ndarray, o: dict):
 def _reply(words: Dictionary, kept: list[int]):
     """An owner's answer to all that asked about contexts: customers, and tables after each kept sweep."""
 
-    def run(table: pa.Table) -> pa.Table:
-        shard, letters = table.column("shard")[0].as_py(), _letters(table)
-        opened = letters["opened"]
-        contexts = [words.read(*x[:2]) for _, x in opened]
-        distinct, at = np.unique(np.concatenate(contexts), return_inverse=True)
-        singles, customers = (np.bincount(at, weights=_joined(opened, i), minlength=len(distinct)) for i in (2, 3))
-        laid = []
-        for sweep in kept:
-            total = singles.copy()
-            for _, x in letters.get(f"laid {sweep}", []):
-                total[np.searchsorted(distinct, words.read(*x[:2]))] += x[2]
-            laid.append(total)
-        out, done = [], 0
-        for (sender, _), c in zip(opened, contexts, strict=True):
-            here = at[done : done + len(c)]
-            done += len(c)
-            out.append((sender, shard, "contexts", pack_arrays(*[small(y[here].astype(np.int64)) for y in (customers, *laid)]), None))
-        return _mail(out)
+    def run(opened: pa.Table, laid: pa.Table) -> pa.Table:
+        shard, letters = opened.column("shard")[0].as_py(), _letters(laid)
+        a = Address(_letters(opened)["opened"], words)
+        numbers = [a.first(3), *[a.first(2) + a.later(letters.get(f"laid {sweep}", [])) for sweep in kept]]
+        return _table([(s, shard, "contexts", pack_arrays(*[small(x[at]) for x in numbers]), None) for s, at in a.at.items()], _MAIL)
 
     return run
 
@@ -367,13 +386,16 @@ def _rounded(p: np.ndarray) -> np.ndarray:
 def _answer(words: Dictionary, kept: list[int], means: list[np.ndarray], o: dict):
     """Answers to the chunks: training count of each word, averaged probability of each pair."""
 
-    def run(asked: pa.Table, mail: pa.Table) -> pa.Table:
+    def run(held: pa.Table, mail: pa.Table) -> pa.Table:
+        asked = held.filter(pc.equal(held.column("tag"), "asked"))
         shard = asked.column("shard")[0].as_py()
-        order = np.argsort(asked.column("chunk").to_numpy())
+        chunk = asked.column(1)
+        order = np.argsort(chunk.to_numpy())
         p = Pairs([asked.column("blob")[int(i)] for i in order], words)
-        letters = _letters(mail)
+        letters = _letters(held.filter(pc.not_equal(held.column("tag"), "asked")), mail)
         d, a = o["discount"], o["strength"]
-        customers = _joined(letters["contexts"], 0)[p.context]
+        numbers = [np.concatenate([x[i] for _, x in letters["contexts"]]).astype(np.float64) for i in range(1 + len(kept))]
+        customers = numbers[0][p.context]
         total = np.zeros(len(p.count))
         for i, (sweep, g) in enumerate(zip(kept, means, strict=True)):
             many, tables, root = (x.astype(np.int64) for x in letters[f"tables {sweep}"][0][1])
@@ -381,13 +403,13 @@ def _answer(words: Dictionary, kept: list[int], means: list[np.ndarray], o: dict
             own[p.many] = many
             k = np.bincount(p.mid, weights=own, minlength=len(p.mid_word))
             parent = Upper(k, tables, root, p.mid_word, p.mid_kind, len(p.words), Totals(g), o).class_p()
-            total += (p.count - d * own + (a + d * _joined(letters["contexts"], 1 + i)[p.context]) * parent[p.mid]) / (a + customers)
+            total += (p.count - d * own + (a + d * numbers[1 + i][p.context]) * parent[p.mid]) / (a + customers)
         mean = _rounded(total / len(kept))
         out, w, q = [], 0, 0
         for nw, np_ in p.sizes:
             out.append(pack_arrays(np.array([shard]), small(p.tokens[p.at[w : w + nw]]), mean[p.of[q : q + np_]]))
             w, q = w + nw, q + np_
-        return pa.table({"chunk": asked.column("chunk").take(pa.array(order)), "answer": pa.array(out, pa.binary())})
+        return pa.table({"chunk": chunk.take(pa.array(order)), "answer": pa.array(out, pa.binary())})
 
     return run
 
@@ -438,26 +460,31 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, key: str = "doc_id
     n, buckets = chunks.count(), buckets_for(docs)
     shards = max(1, math.ceil(n / CHUNKS_PER_SHARD))
     words = frequent_words(chunks, n)
-    # tables bucketed by shard are read several times and never shuffled
-    sent = bucketed(one_row_batches(chunks, _send(words, shards, folds, held), "shard long, chunk long, blob binary"), "asked", "shard", buckets)
+    # tables bucketed by shard are read several times and never shuffled, nor are their unions
+    sent = bucketed(one_row_batches(chunks, _send(words, shards, folds, held), _ASKED), "asked", "shard", buckets)
     begun = bucketed(sent.groupBy("shard").applyInArrow(_open(words, shards), _MAIL), "begun", "shard", buckets)
-    of = lambda mail, tag: mail.where(F.col("tag").startswith(tag))
-    state = of(begun, "state")
-    fixed = stash(of(begun, "opened").groupBy("shard").applyInArrow(_sum(words), _MAIL), "sums")
-    known, g, kept, means, last = fixed, _summed(begun), [], [], None
+    of = lambda mail, tag: mail.where(F.col("tag") == tag)
+    union = lambda *parts: functools.reduce(DataFrame.unionAll, parts)
+    letters = lambda swept, tag: of(swept, tag).select(F.col("receiver").alias("shard"), F.col("shard").alias("sender"), "tag", "blob", "stats")
+    opened = of(begun, "opened")
+    fixed = bucketed(opened.groupBy("shard").applyInArrow(_first_sums(words), _MAIL).repartition(buckets, "shard"), "sums", "shard", buckets)
+    state, laid, g, kept, means = union(of(begun, "state"), fixed), None, _summed(begun), [], []
+    last = None
     for sweep in range(sweeps):
-        now = stash(state.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_sweep(words, shards, sweep, g, o), _MAIL), "swept")
+        own = state if last is None else union(state, of(last, f"tables {sweep - 1}"))
+        heard = docs.sparkSession.createDataFrame([], _MAIL) if last is None else opened.groupBy("shard").cogroup(letters(last, f"laid {sweep - 1}").groupBy("shard")).applyInArrow(_sums(words, f"laid {sweep - 1}"), _MAIL)
+        now = bucketed(own.groupBy("shard").cogroup(heard.groupBy("shard")).applyInArrow(_sweep(words, shards, sweep, g, o), _KEPT), "swept", "shard", buckets)
         if last is not None and sweep <= burn_in:
             discard(last)  # nothing reads a sweep of the burn-in after the next one
         g, last = _summed(now), now
         if sweep >= burn_in:
-            kept.append(now)
+            kept.append((sweep, now))
             means.append(g)
-        known = fixed.unionByName(of(now, "tables")).unionByName(of(now, "laid").groupBy("shard").applyInArrow(_sum(words), _MAIL))
-    samples = list(range(burn_in, sweeps))
-    laid = functools.reduce(DataFrame.unionByName, [of(x, "laid") for x in kept], of(begun, "opened"))
-    mail = functools.reduce(DataFrame.unionByName, [of(x, "tables") for x in kept], laid.groupBy("shard").applyInArrow(_reply(words, samples), _MAIL))
-    answers = sent.groupBy("shard").cogroup(mail.groupBy("shard")).applyInArrow(_answer(words, samples, means, o), "chunk long, answer binary")
+    samples = [i for i, _ in kept]
+    laid = union(*[letters(x, f"laid {i}") for i, x in kept])
+    mail = opened.groupBy("shard").cogroup(laid.groupBy("shard")).applyInArrow(_reply(words, samples), _MAIL)
+    held_by = union(sent, *[of(x, f"tables {i}") for i, x in kept])  # no projection: it would cost the bucketing
+    answers = held_by.groupBy("shard").cogroup(mail.groupBy("shard")).applyInArrow(_answer(words, samples, means, o), "chunk long, answer binary")
     scored = answered(chunks, answers)
     return one_row_batches(scored, _score(shards, folds, held, g), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
