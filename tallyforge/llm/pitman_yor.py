@@ -144,7 +144,9 @@ def frequent_words(chunks: DataFrame, n: int) -> Dictionary:
                 top = np.argsort(-count, kind="stable")[:FREQUENT]
                 yield pa.RecordBatch.from_arrays([pa.array(h[top].view(np.int64)), pa.array(count[top])], names=["word", "n"])
 
-    some = chunks.orderBy(F.xxhash64("chunk")).limit(LEARNED_FROM) if n > LEARNED_FROM else chunks
+    some = chunks
+    if n > LEARNED_FROM:  # ids only are sorted; the chunks themselves stay where they are
+        some = chunks.where(F.col("chunk").isin([r.chunk for r in chunks.select("chunk").orderBy(F.xxhash64("chunk")).limit(LEARNED_FROM).collect()]))
     counts = one_row_batches(some.select("body"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").toArrow()
     return Dictionary(np.sort(top.column(0).to_numpy().view(np.uint64)))
