@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, mixing, neardup, neighbours, packing, pitman_yor, quality, secret_ledger, substring_dedup, toxicity
+from . import best_fit, html_text, mixing, neardup, neighbours, packing, periodic_runs, pitman_yor, quality, secret_ledger, spelling, substring_dedup, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_lm_scores": pitman_yor.op8_lm_scores,
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_secrets": secret_ledger.op10_secrets,
+    "op11_best_fit": best_fit.op11_best_fit,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_spelling": spelling.op13_spelling,
 }
 SQL = {
     "op4_substring_dedup": substring_dedup.SQL,
@@ -22,4 +25,5 @@ SQL = {
     "op6_mixing": mixing.SQL,
     "op7_quality": quality.SQL,
     "op10_secrets": secret_ledger.SQL,
+    "op13_spelling": spelling.SQL,
 }
