@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read back."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -33,24 +34,24 @@ def closure(edges: DataFrame) -> DataFrame:
     Paths double in each round (known pairs joined with known pairs), so a chain of length n
     takes log2(n) rounds.
     """
-    known = _written(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    known = written(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     fresh = known
     while fresh.limit(1).count():
         a, b = known.select("src", F.col("dst").alias("mid")), fresh.select(F.col("src").alias("mid"), "dst")
         c, d = fresh.select("src", F.col("dst").alias("mid")), known.select(F.col("src").alias("mid"), "dst")
         made = a.join(b, "mid").select("src", "dst").union(c.join(d, "mid").select("src", "dst")).distinct()
-        fresh = _written(made.join(known, ["src", "dst"], "left_anti"))
-        known = _written(known.union(fresh))
+        fresh = written(made.join(known, ["src", "dst"], "left_anti"))
+        known = written(known.union(fresh))
     return known
 
 
 def cyclic_residue(edges: DataFrame) -> DataFrame:
     """(node) left when nodes without incoming edges are peeled off: cycles and what follows them."""
-    left = _written(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    left = written(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     n = left.count()
     while n:
         # an edge stays as long as something still leads to its source
-        kept = _written(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
+        kept = written(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
         m = kept.count()
         left = kept
         if m == n:
