@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import average_ranks
+
 
 def fixed_grid(df: DataFrame, series: str, at: str, value: str, first: int, last: int) -> DataFrame:
     """(series, at, value, filled): each series on every integer of [first, last].
@@ -58,12 +60,6 @@ def element_summary(df: DataFrame, key: str, vector: str, thresholds: tuple = (0
     return out.select(*[c for c in out.columns if c != "q"], *[F.col("q")[i].alias(f"q{int(q * 100):02d}") for i, q in enumerate(quantiles)])
 
 
-def average_ranks(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
-    """``df`` with ranks from 1, ties sharing their mean rank."""
-    w = Window.partitionBy(*group)
-    return df.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*group, value)) - 1) / 2)
-
-
 def spearman(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
     """(group, n, rho): rank correlation with mean ranks; null without spread."""
     ranked = average_ranks(average_ranks(df, [group], a, "_ra"), [group], b, "_rb")

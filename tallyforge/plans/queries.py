@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..operators import compression, conformance, features, grammar, graph, integrity, model, probe
+from ..operators import compression, conformance, features, grammar, graph, integrity, model, probe, ranks
 from ..sources import spectra, strict_json
 from .base import QUERIES, R5, SQL, query, r5, rounded, table
 
@@ -441,14 +441,14 @@ def ranking_pairs(spark, sf_dir):
 
 @query("pair_counts", CELLS + " SELECT kind, count(*) AS n FROM q GROUP BY kind")
 def pair_counts(spark, sf_dir):
-    return ranking_pairs(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    counts = ranks.pair_counts(cells(spark, sf_dir), ["o_custkey"], "life", "low")
+    return counts.groupBy("kind").agg(F.sum("n").alias("n"))
 
 
 @query("pair_accuracy_by_group", CELLS + f" SELECT kind, count(*) AS n, {R5('avg(CASE WHEN ls = rs THEN 0.5 WHEN (ls > rs) = (winner = lpos) THEN 1 ELSE 0 END)')} AS accuracy FROM q WHERE winner IS NOT NULL GROUP BY kind")
 def pair_accuracy_by_group(spark, sf_dir):
-    c = cells(spark, sf_dir)
-    done = features.pair_correct(features.ranking_pairs(c, "o_custkey", "o_orderkey", "life", "low"), c, "o_orderkey", "score")
-    return rounded(done.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.avg("correct").alias("accuracy")), "accuracy")
+    counts = ranks.pair_counts(cells(spark, sf_dir), ["o_custkey"], "life", "low", "score").where("correct is not null")
+    return rounded(counts.groupBy("kind").agg(F.sum("n").alias("n"), (F.sum("correct") / F.sum("n")).alias("accuracy")), "accuracy")
 
 
 def series(spark, sf_dir):
