@@ -1,9 +1,16 @@
-"""Scalar functions as Column expressions: all of them stay inside code generation."""
+"""Scalar functions as Column expressions: all but ``display_matches`` stay inside code generation."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
+#: A number in a displayed text.
+_SHOWN = re.compile(r"-?[0-9]+[.]?[0-9]*")
 
 
 def squared_error(y: Column, p: Column) -> Column:
@@ -126,12 +133,24 @@ def peak_density(x: Column, threshold: float) -> Column:
     return F.when(F.size(x) >= 3, F.size(peak) / (F.size(x) - 2)).otherwise(F.lit(0.0))
 
 
-def display_matches(shown: Column, value: Column) -> Column:
-    """Whether some number in a shown text is ``value`` rounded to as many decimals as are shown."""
-    numbers = F.regexp_extract_all(shown, F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0))
+@F.pandas_udf(BooleanType())
+def _rounds_to(shown: pd.Series, values: pd.Series) -> pd.Series:
+    """Python's own rounding: to even on exact ties, judged on the double's exact value."""
+
+    def one(text, held):
+        if text is None or held is None:
+            return False
+        numbers = _SHOWN.findall(text)
+        if len(numbers) != len(held):
+            return False
+        places = [len(n.partition(".")[2]) for n in numbers]
+        return all(v is not None and v == v and round(float(v), p) == float(n) for v, n, p in zip(held, numbers, places))
+
+    return pd.Series([one(t, v) for t, v in zip(shown, values)], dtype=bool)
+
 
-    def same(t):
-        places = F.when(t.contains("."), F.length(F.substring_index(t, ".", -1))).otherwise(F.lit(0))
-        return F.abs(t.try_cast("double") - value) <= F.pow(F.lit(10.0), -places) * 0.5 + 1e-12
+def display_matches(shown: Column, values: Column) -> Column:
+    """Whether a shown text has as many numbers as there are ``values`` (an array of doubles), and each value rounded to the
+    decimals shown is the number in its place.  Nulls never match."""
+    return _rounds_to(shown, values)
 
-    return F.coalesce(F.exists(numbers, same), F.lit(False))

@@ -200,12 +200,17 @@ def mean_bootstrap(spark, sf_dir):
 # --- adapters and ledgers
 
 
-@query("continuation_groups", """WITH r AS (SELECT c_custkey // 3 AS b, c_custkey AS part, CASE WHEN c_custkey % 3 = 0 THEN 'FULL-' || c_mktsegment ELSE c_mktsegment END AS p FROM customer),
-l AS (SELECT b, arg_max(p, (length(p), p)) AS canonical, count(*) AS n FROM r GROUP BY b), m AS (SELECT r.*, canonical, n, bool_and(ends_with(canonical, p)) OVER (PARTITION BY b) AS ok FROM r JOIN l USING (b))
-SELECT CASE WHEN ok THEN b::VARCHAR ELSE b || ':' || part END AS event_id, b AS barcode, count(*) AS records, CASE WHEN bool_and(ok) THEN min(canonical) ELSE min(p) END AS policy, bool_and(ok) AND min(n) > 1 AS merged FROM m GROUP BY 1, 2""")
+@query("continuation_groups", """WITH r AS (SELECT CASE WHEN c_custkey % 50 <> 49 THEN c_custkey // 3 END AS b, c_custkey AS part,
+  CASE WHEN c_custkey % 3 = 0 THEN 'FULL-' || c_mktsegment WHEN c_custkey % 40 <> 8 THEN c_mktsegment END AS p FROM customer),
+l AS (SELECT b, arg_max(p, (length(p), p)) AS canonical, count(*) AS n FROM r GROUP BY b),
+m AS (SELECT r.*, canonical, n, r.b IS NOT NULL AND bool_and(coalesce(ends_with(canonical, p), false)) OVER (PARTITION BY r.b) AS ok FROM r JOIN l ON r.b IS NOT DISTINCT FROM l.b)
+SELECT CASE WHEN ok THEN b::VARCHAR WHEN b IS NULL THEN part::VARCHAR ELSE b || ':' || part END AS event_id, b AS barcode, count(*) AS records,
+  CASE WHEN bool_and(ok) THEN min(canonical) ELSE min(p) END AS policy, bool_and(ok) AND min(n) > 1 AS merged FROM m GROUP BY 1, 2""")
 def continuation_groups(spark, sf_dir):
-    k = F.col("c_custkey")
-    rows = table(spark, sf_dir, "customer").select(F.floor(k / 3).alias("barcode"), k.alias("part"), F.when(k % 3 == 0, F.concat(F.lit("FULL-"), F.col("c_mktsegment"))).otherwise(F.col("c_mktsegment")).alias("policy"))
+    """Every fiftieth customer has no barcode, every fortieth no policy."""
+    k, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    policy = F.when(k % 3 == 0, F.concat(F.lit("FULL-"), segment)).when(k % 40 != 8, segment)
+    rows = table(spark, sf_dir, "customer").select(F.when(k % 50 != 49, F.floor(k / 3)).alias("barcode"), k.alias("part"), policy.alias("policy"))
     return downstream.continuation_groups(rows, "barcode", "policy", "part")
 
 
@@ -224,13 +229,28 @@ def raman_observations(spark, sf_dir):
     return out.select("specimen", "line_nm", "selected", F.col("other_member").isNotNull().alias("has_other"))
 
 
-@query("pointer_join", "SELECT event_id AS key, CASE WHEN event_id % 3 < 2 THEN props->>'$.k' END AS value, CASE event_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'stale' ELSE 'unresolved' END AS state FROM events")
+_SHOWN = "list_transform(regexp_extract_all({0}, '-?[0-9]+[.]?[0-9]*'), lambda t: {{'n': t::DOUBLE, 'p': CASE WHEN contains(t, '.') THEN length(split_part(t, '.', 2)) ELSE 0 END}})"
+_MATCHES = "(len({0}) = len({1}) AND len(list_filter(list_zip({0}, {1}), lambda z: round(z[1], (z[2]).p::INT) <> (z[2]).n)) = 0)"
+
+
+@query("pointer_join", f"""WITH e AS (SELECT event_id, (props->>'$.k')::BIGINT AS k, value / 7 AS v FROM events),
+x AS (SELECT event_id, k, v, CASE event_id % 5 WHEN 0 THEN 'about ' || k WHEN 1 THEN 'in 2024: ' || k WHEN 2 THEN '100000' WHEN 3 THEN k || '.0' ELSE NULL END AS shown,
+  CASE event_id % 3 WHEN 0 THEN k || ' to ' || (k + 1) WHEN 1 THEN '[' || k || ', ' || k || ']' ELSE 'none' END AS ci FROM e),
+y AS (SELECT *, {_SHOWN.format('shown')} AS ns, {_SHOWN.format('ci')} AS nc FROM x)
+SELECT event_id AS key, 'pointer' AS field, CASE WHEN event_id % 7 <> 6 THEN k::VARCHAR END AS value,
+  CASE WHEN shown IS NULL THEN 'undisplayed' WHEN event_id % 7 = 6 THEN 'unresolved' WHEN {_MATCHES.format('[k]', 'ns')} THEN 'ok' ELSE 'stale' END AS state FROM y
+UNION ALL SELECT event_id, 'ci_pointer', '[' || k || ',' || (k + 1) || ']', CASE WHEN {_MATCHES.format('[k, k + 1]', 'nc')} THEN 'ok' ELSE 'stale' END FROM y""")
 def pointer_join(spark, sf_dir):
-    e, i = table(spark, sf_dir, "events"), F.col("event_id")
-    manifests = e.select(F.concat(F.lit("m/"), i.cast("string")).alias("manifest"), F.concat(F.lit('{"runs": [{"v": '), F.col("props"), F.lit("}]}")).alias("body"))
-    shown = F.concat(F.lit("about "), F.when(i % 3 == 0, F.get_json_object("props", "$.k")).otherwise("100000"))
-    entries = e.select(i.alias("key"), F.concat(F.lit("m/"), i.cast("string")).alias("manifest"), F.when(i % 3 == 2, "runs[7].v.k").otherwise("runs[0].v.k").alias("pointer"), shown.alias("display"))
-    return downstream.ledger_check(entries, manifests, lambda value, display: sc.display_matches(display, value))
+    """Scalars shown alone, beside a year, wrongly, with a decimal or not at all; bounds shown as two numbers, one twice, or none."""
+    e, i, k = table(spark, sf_dir, "events"), F.col("event_id"), F.get_json_object("props", "$.k")
+    path = F.concat(F.lit("m/"), i.cast("string")).alias("manifest")
+    body = F.concat(F.lit('{"runs": [{"v": '), F.col("props"), F.lit(', "ci": ['), k, F.lit(", "), (k.cast("long") + 1).cast("string"), F.lit("]}]}"))
+    shown = F.when(i % 5 == 0, F.concat(F.lit("about "), k)).when(i % 5 == 1, F.concat(F.lit("in 2024: "), k)).when(i % 5 == 2, "100000").when(i % 5 == 3, F.concat(k, F.lit(".0")))
+    bounds = F.when(i % 3 == 0, F.concat(k, F.lit(" to "), (k.cast("long") + 1).cast("string"))).when(i % 3 == 1, F.concat(F.lit("["), k, F.lit(", "), k, F.lit("]"))).otherwise("none")
+    entries = e.select(
+        i.alias("key"), path, F.when(i % 7 == 6, "runs[7].v.k").otherwise("runs[0].v.k").alias("pointer"), shown.alias("display"), F.lit("runs.0.ci").alias("ci_pointer"), bounds.alias("ci95_display")
+    )
+    return downstream.ledger_check(entries, e.select(path, body.alias("body")))
 
 
 # --- designs

@@ -549,11 +549,23 @@ def first_crossing(spark, sf_dir):
     return series(spark, sf_dir).groupBy("user_id").agg(F.min(F.when(F.col("value") <= 2000, F.col("day"))).alias("first_low"), F.min("value").alias("least"))
 
 
-@query("ledger_display_match", """SELECT o_orderkey, o_orderkey % 2 = 0 AS ok FROM orders""")
+_SHOWN = """CASE o_orderkey % 6 WHEN 0 THEN 'about ' || round(v, 2) WHEN 1 THEN 'about ' || round(v + 3, 2) WHEN 2 THEN 'in 1997 it was ' || round(v, 1)
+  WHEN 3 THEN 'from ' || round(w, 2) || ' to ' || round(v, 2) WHEN 4 THEN round(v, 2) || '-' || round(w, 2) ELSE 'unknown' END"""
+
+
+@query("ledger_display_match", f"""WITH x AS (SELECT o_orderkey, o_totalprice / 7 AS v, -o_totalprice / 9 AS w FROM orders), y AS (SELECT *, {_SHOWN} AS shown FROM x),
+z AS (SELECT *, CASE WHEN o_orderkey % 6 IN (3, 4) THEN [w, v] ELSE [v] END AS vals,
+  list_transform(regexp_extract_all(shown, '-?[0-9]+[.]?[0-9]*'), lambda t: {{'n': t::DOUBLE, 'p': CASE WHEN contains(t, '.') THEN length(split_part(t, '.', 2)) ELSE 0 END}}) AS ns FROM y)
+SELECT o_orderkey, len(ns) = len(vals) AND len(list_filter(list_zip(vals, ns), lambda q: round(q[1], (q[2]).p::INT) <> (q[2]).n)) = 0 AS ok FROM z""")
 def ledger_display_match(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") + 0.25).alias("v"))
-    shown = F.concat(F.lit("about "), F.when(F.col("o_orderkey") % 2 == 0, F.col("v").cast("decimal(18,2)")).otherwise((F.col("v") + 3).cast("decimal(18,2)")).cast("string"), F.lit(" units"))
-    return o.select("o_orderkey", sc.display_matches(shown, F.col("v")).alias("ok"))
+    """One number shown rightly, wrongly or beside a year; two in the right and in the wrong order; none."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 7).alias("v"), (-F.col("o_totalprice") / 9).alias("w"))
+    k, text = F.col("o_orderkey") % 6, lambda c, n: F.format_string(f"%.{n}f", F.round(c, n))
+    v, w = text(F.col("v"), 2), text(F.col("w"), 2)
+    shown = F.when(k == 0, F.concat(F.lit("about "), v)).when(k == 1, F.concat(F.lit("about "), text(F.col("v") + 3, 2))).when(k == 2, F.concat(F.lit("in 1997 it was "), text(F.col("v"), 1)))
+    shown = shown.when(k == 3, F.concat(F.lit("from "), w, F.lit(" to "), v)).when(k == 4, F.concat(v, F.lit("-"), w)).otherwise("unknown")
+    values = F.when(k.isin(3, 4), F.array("w", "v")).otherwise(F.array("v"))
+    return o.select("o_orderkey", sc.display_matches(shown, values).alias("ok"))
 
 
 # --- models

@@ -113,10 +113,10 @@ def test_assignment_file_and_identity(spark, tmp_path):
 
 
 def test_raman_members_that_do_not_parse(spark):
-    names = ["z/Quartz__R1__Raman__514-5__Raman_Data_RAW__1a.txt", "z/Quartz__R1__Raman__514-5__Raman_Data_Processed__2b.txt", "Calcite__R2_laser_change__Raman____Raman_Data_RAW__3c.txt", "odd.txt", "notes.md"]
+    names = ["z/Quartz__R1__Raman__514-5__Raman_Data_RAW__1a.txt", "z/Quartz__R1__Raman__514-5__Raman_Data_Processed__2b.txt", "Calcite__R2_laser_change__Raman____Raman_Data_RAW__3c.txt", "odd.txt", "notes.md", "A__B__R1__Raman__5__Raman_Data_RAW__1.txt", "Q__R3__Raman__5-__Raman_Data_RAW__1.txt", "Q__R3__Raman__5__Raman_Data_Odd__1.txt", "Q__R3__Raman__5Raman_Data_RAW__1.txt", "Q__R3__Raman__5__Raman_Data_RAW__xyz.txt"]
     out, skipped = downstream.raman_observations(spark.createDataFrame([(n,) for n in names], "n string"), "n")
-    assert sorted((r.specimen, r.line_nm, r.variant, r.selected, r.other_member) for r in out.collect()) == [("R1", 514.5, "", "Processed", names[0]), ("R2", -1.0, "laser_change", "RAW", None)]
-    assert [r.member for r in skipped.collect()] == ["odd.txt"]
+    assert sorted((r.specimen, r.line_nm, r.variant, r.selected, r.other_member) for r in out.collect()) == [("B", 5.0, "_R1", "RAW", None), ("R1", 514.5, "", "Processed", names[0]), ("R2", -1.0, "laser_change", "RAW", None)]
+    assert sorted(r.member for r in skipped.collect()) == sorted(["odd.txt", *names[-4:]])
 
 
 def test_nearest_rows_refuse_large_tables(spark):
@@ -124,3 +124,26 @@ def test_nearest_rows_refuse_large_tables(spark):
     with pytest.raises(ValueError):
         model.knn(df, df, "k", ["x"], "y", most=10)
     assert model.knn(df.where("false"), df, "k", ["x"], "y").where("prediction is null").count() == 20
+
+
+def test_records_without_a_barcode_or_a_policy(spark):
+    rows = [("b1", "3C-60", 1), ("b1", "new-3C-60", 2), (None, "3C", 3), (None, "3C", 4), ("b2", None, 5), ("b2", "3C", 6), ("b3", None, 7)]
+    out = downstream.continuation_groups(spark.createDataFrame(rows, "b string, p string, part int"), "b", "p", "part").collect()
+    assert sorted((r.event_id, r.b or "", r.records, r.policy or "", r.merged) for r in out) == [
+        ("3", "", 1, "3C", False), ("4", "", 1, "3C", False), ("b1", "b1", 2, "new-3C-60", True), ("b2:5", "b2", 1, "", False), ("b2:6", "b2", 1, "3C", False), ("b3:7", "b3", 1, "", False),
+    ]
+
+
+def test_ledger_check_walks_documents(spark):
+    body = json.dumps({"a": [{"b.c": 1}, {"x": 0.125, "ci": [0.5, 0.75], "n": None, "t": "1", "0": True}], "runs": {"k": 7}})
+    entries = [
+        ("scalar", "m", "a[1].x", "0.12", None, None), ("wrong", "m", "a[1].x", "0.13", None, None), ("last", "m", "a[-1].x", "at 0.125", None, None), ("dotted index", "m", "a.1.x", "0.1", None, None),
+        ("list", "m", "a[1].ci", "0.50 to 0.75", None, None), ("list short", "m", "a[1].ci", "0.50", None, None), ("null", "m", "a[1].n", "0", None, None), ("text", "m", "a[1].t", "1", None, None),
+        ("truth", "m", "a[1].0", "1", None, None), ("gone", "m", "a[7].x", "1", None, None), ("no key", "m", "runs.z", "1", None, None), ("through a number", "m", "runs.k.z", "1", None, None),
+        ("no file", "other", "runs.k", "7", None, None), ("two", "m", "runs.k", "7", "a[1].ci", "1 and 1"), ("hidden", "m", "runs.k", None, None, None), ("none", "m", None, None, None, None),
+    ]
+    df = spark.createDataFrame(entries, "key string, manifest string, pointer string, display string, ci_pointer string, ci95_display string")
+    got = {(r.key, r.field): r.state for r in downstream.ledger_check(df, spark.createDataFrame([("m", body), ("bad", "{")], "manifest string, body string")).collect()}
+    ok, stale, lost = ("scalar", "last", "dotted index", "list"), ("wrong", "list short", "null", "text", "truth"), ("gone", "no key", "through a number", "no file")
+    want = {(k, "pointer"): s for ks, s in ((ok, "ok"), (stale, "stale"), (lost, "unresolved")) for k in ks}
+    assert got == want | {("two", "pointer"): "ok", ("two", "ci_pointer"): "stale", ("hidden", "pointer"): "undisplayed"}

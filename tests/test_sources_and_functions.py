@@ -120,6 +120,13 @@ def test_vector_functions(spark):
     assert one(spark, sc.peak_density(F.lit([0.0, 1.0, 1.0, 0.0]), 0.5)) == 0.5 and one(spark, sc.peak_density(F.lit([0.0]), 0.5)) == 0.0
 
 
-@pytest.mark.parametrize(("shown", "value", "ok"), [("0.62", 0.6249, True), ("0.62", 0.631, False), ("about 12 of 13", 12.4, True), ("none", 1.0, False)])
-def test_display(spark, shown, value, ok):
-    assert one(spark, sc.display_matches(F.lit(shown), F.lit(value))) is ok
+@pytest.mark.parametrize(
+    ("shown", "values", "ok"),
+    [
+        ("0.62", [0.6249], True), ("0.62", [0.631], False), ("none", [1.0], False), ("about 12 of 13", [12.4], False), ("about 12 of 13", [12.4, 13.0], True), ("in 2024 it was 0.12 of 7", [0.12], False),
+        ("0.12 or 0.13", [0.125], False), ("0.12", [0.125], True), ("0.13", [0.125], False), ("2.67", [2.675], True), ("2.68", [2.675], False), ("2", [2.5], True), ("[0.1, -0.25]", [0.1, -0.25], True),
+        ("12.", [12.2], True), ("", [], True), ("5", [None], False), ("1e3", [1000.0], False),
+    ],
+)
+def test_display(spark, shown, values, ok):
+    assert one(spark, sc.display_matches(F.lit(shown), F.lit(values).cast("array<double>") if values else F.array().cast("array<double>"))) is ok
