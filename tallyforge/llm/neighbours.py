@@ -23,7 +23,7 @@ PROJECTIONS = 128
 BLOCK = 8192
 QUERY_BLOCK = 4096
 SHARE = 0.3  # of a block, what is verified at least
-LEAST = 1000  # vectors verified at least
+LEAST = 200  # vectors of a block verified at least
 THRESHOLD = 0.5  # of all windows, in how many a vector must lie
 WIDEN = 1.2
 SEED = 97
@@ -95,7 +95,7 @@ class Block:
             radius += 1
 
 
-def _search(k: int, longest: float, o: dict):
+def _search(k: int, o: dict):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def dense(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -106,21 +106,25 @@ def _search(k: int, longest: float, o: dict):
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         if not rows.num_rows or not queries.num_rows:
             return schema.empty_table()
+        peak, longest = rows.column("peak")[0].as_py(), rows.column("longest")[0].as_py()
         ids, x = dense(rows)
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
         asked, vectors = dense(queries)
-        block = Block(ids, x, vectors, longest, o)
-        single = x.astype(np.float32)
+        # windows and screening see vectors with components up to 1, so that none is too large for them
+        small, small_vectors = x / peak, vectors / peak
+        block = Block(ids, small, small_vectors, longest, o)
+        single = small.astype(np.float32)
         out = [[], [], []]
         for i, (q, v) in enumerate(zip(asked, vectors, strict=True)):
             at = block.candidates(i)
             at = at[ids[at] != q]
             if len(at) > k:
                 # single precision tells which can't be among the best; its error is bounded
-                rough = single[at] @ v.astype(np.float32)
+                w = small_vectors[i]
+                rough = single[at] @ w.astype(np.float32)
                 bound = np.partition(rough, len(at) - k)[len(at) - k]
-                at = at[rough >= bound - 1e-4 * longest * math.sqrt(v @ v)]
+                at = at[rough >= bound - 1e-4 * longest * math.sqrt(w @ w)]
             score = x[at] @ v
             best = np.lexsort((ids[at], -score))[:k]
             out[0].append(np.full(len(best), q))
@@ -134,31 +138,30 @@ def _search(k: int, longest: float, o: dict):
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, query_block: int = QUERY_BLOCK, projections: int = PROJECTIONS, share: float = SHARE, least: int = LEAST, threshold: float = THRESHOLD, widen: float = WIDEN, seed: int = SEED) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query, ties to smaller ids.
 
-    Vectors that are null, zero or hold null or non-finite components take no part, nor do
-    null ids and vectors of another length than most.  Rows with the query's id are not its
-    candidates; a query id that repeats counts once (its least vector).  Fewer candidates
-    than ``k``: all; empty tables: no rows.
+    Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids.
+    A query meets the vectors of its own length; every length is searched by itself, and vectors may be of any finite
+    size.  Rows with the query's id are not its candidates; a query id that repeats counts once for each length
+    (its least vector).  Fewer candidates than ``k``: all; empty tables: no rows.
     """
-    v = F.col(vector).cast("array<double>")
-    rows = rows.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    queries = queries.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("longest")).orderBy(F.desc("n"), "d").limit(1).collect()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
-        return rows.sparkSession.createDataFrame([], empty)
-    d, n, longest = sizes[0]
-    rows, queries = rows.where(F.size("v") == d), queries.where(F.size("v") == d)
-    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     if block > 1 << 15:
         raise ValueError("a block's places must fit 16 bits")
-    blocks, asked = math.ceil(n / block), max(1, math.ceil(queries.count() / query_block))
-    deal = lambda count, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(count)).cast("int")
+    v = F.col(vector).cast("array<double>")
+    take = lambda df: df.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v"))).withColumn("d", F.size("v"))
+    rows, queries = take(rows), take(queries).groupBy("vec_id", "d").agg(F.min("v").alias("v"))
+    # one row a length: the largest component, then the largest norm of vectors divided by it
+    peaks = rows.groupBy("d").agg(F.max(F.array_max(F.transform("v", F.abs))).alias("peak"), F.count(F.lit(1)).alias("n"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("peak")) * (x / F.col("peak"))))
+    longest = rows.join(peaks, "d").groupBy("d").agg(F.max(norm).alias("longest"))
+    counts = queries.groupBy("d").agg(F.count(F.lit(1)).alias("m"))
+    sizes = peaks.join(longest, "d").join(counts, "d")
+    sizes = sizes.select("d", "peak", "longest", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil(F.col("m") / query_block).cast("int").alias("asked"))
+    deal = lambda count, *of: F.pmod(F.xxhash64(*of), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     # equal ids would meet in one block; the vector takes part in the hash of rows
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
-    queries = queries.withColumn("q", deal(asked, 5)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.join(sizes, "d").withColumn("b", deal("blocks", "vec_id", "v")).withColumn("q", every("asked")).select("d", "b", "q", "vec_id", "v", "peak", "longest")
+    queries = queries.join(sizes, "d").withColumn("q", deal("asked", "vec_id", F.lit(5))).withColumn("b", every("blocks")).select("d", "b", "q", "vec_id", "v")
     options = {"projections": projections, "share": share, "least": least, "threshold": threshold, "widen": widen, "seed": seed}
-    found = rows.groupBy("b", "q").cogroup(queries.groupBy("b", "q")).applyInArrow(_search(k, float(longest), options), "query_id long, vec_id long, score double")
+    found = rows.groupBy("d", "b", "q").cogroup(queries.groupBy("d", "b", "q")).applyInArrow(_search(k, options), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

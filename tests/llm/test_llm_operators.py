@@ -470,9 +470,10 @@ def test_neighbours_recall_on_a_full_block():
     centres = rng.standard_normal((40, 64))
     x = centres[rng.integers(0, 40, neighbours.BLOCK)] + 1.5 * rng.standard_normal((neighbours.BLOCK, 64))
     asked = np.arange(0, len(x), 40)
-    table = lambda i: pa.table({"vec_id": i, "v": pa.array(list(x[i]), pa.list_(pa.float64()))})
+    longest = float(np.sqrt((x**2).sum(axis=1)).max())
+    table = lambda i: pa.table({"vec_id": i, "v": pa.array(list(x[i]), pa.list_(pa.float64())), "peak": np.full(len(i), 1.0), "longest": np.full(len(i), longest)})
     o = {"projections": neighbours.PROJECTIONS, "share": neighbours.SHARE, "least": neighbours.LEAST, "threshold": neighbours.THRESHOLD, "widen": neighbours.WIDEN, "seed": neighbours.SEED}
-    got = neighbours._search(20, float(np.sqrt((x**2).sum(axis=1)).max()), o)(table(np.arange(len(x))), table(asked))
+    got = neighbours._search(20, o)(table(np.arange(len(x))), table(asked))
     score = x[asked] @ x.T
     score[np.arange(len(asked)), asked] = -np.inf
     want = {(int(q), int(i)) for q, r in zip(asked, score) for i in np.argsort(-r)[:20]}
@@ -489,6 +490,27 @@ def test_neighbours_edges(spark):
     assert neighbours.nearest(df.where("false"), df).count() == 0 and neighbours.nearest(df, df.where("false")).count() == 0
 
 
+def test_neighbours_of_any_size_and_length(spark):
+    rng = np.random.default_rng(6)
+    data = [(i, (rng.standard_normal(8) * 10.0**39).tolist()) for i in range(60)] + [(100 + i, (rng.standard_normal(3) * 10.0**-30).tolist()) for i in range(40)] + [(200, [5.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, df.where("vec_id % 20 = 0"), 9).collect()
+    want = {}
+    for low, high in ((0, 100), (100, 200)):
+        part = [d for d in data if low <= d[0] < high]
+        want |= brute_nearest(part, [d for d in part if d[0] % 20 == 0], 9)
+    assert {q: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in want} == want
+    assert {r.query_id for r in got} == {0, 20, 40, 100, 120}
+
+
+def test_neighbours_of_small_tables_come_from_windows(spark):
+    data = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    want = brute_nearest(data, [d for d in data if d[0] % 20 == 0], 20)
+    got = neighbours.nearest(df, df.where("vec_id % 20 = 0")).collect()
+    assert len(got) == sum(map(len, want.values())) and sum(r.vec_id in want[r.query_id] for r in got) >= 0.95 * len(got)
+
+
 # --- secrets
 
 SECRETS = [
