@@ -108,9 +108,13 @@ def pair_correct(pairs: DataFrame, scores: DataFrame, position: str, score: str)
 
 
 def macro_weights(df: DataFrame, group: str, eligible: Column) -> DataFrame:
-    """``df`` with weight 1 / eligible rows of the group, 0 for rows that aren't eligible."""
-    n = F.count_if(eligible).over(Window.partitionBy(group))
-    return df.withColumn("macro_weight", F.when(eligible, 1 / n).otherwise(F.lit(0.0)))
+    """``df`` with weight 1 / eligible rows of the group, 0 for rows that aren't eligible.
+
+    Groups are counted before they are joined back, so a hot one stays spread over its tasks.
+    """
+    counts = df.groupBy(F.col(group).alias("_mg")).agg(F.count_if(eligible).alias("_mn"))
+    met = df.join(counts, F.col(group).eqNullSafe(F.col("_mg")))
+    return met.withColumn("macro_weight", F.when(eligible, 1 / F.col("_mn")).otherwise(F.lit(0.0))).drop("_mg", "_mn")
 
 
 def macro_mae(df: DataFrame, group: str, error: str) -> DataFrame:

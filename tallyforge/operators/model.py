@@ -6,14 +6,14 @@ reaches the driver is a matrix per group whose size is that of the features squa
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import leakage_score, severity
+from .graph import written
+from .ranks import running_sums
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 17) -> DataFrame:
@@ -24,8 +24,9 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 17
 
 def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
     """``df`` with ``fold``: whole groups, dealt back and forth in order of size."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    r = F.row_number().over(Window.orderBy(F.desc("_n"), group)) - 1
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).withColumns({"_all": F.lit(0), "_one": F.lit(1)})
+    sizes = running_sums(sizes, ["_all"], ["_n", group], {"_place": "_one"}, descending=("_n",))
+    r = F.col("_place")
     turn = (F.floor(r / k) % 2).cast("int")
     fold = F.when(turn == 0, r % k).otherwise(k - 1 - r % k).cast("int")
     return df.join(sizes.select(group, fold.alias("fold")), group)
@@ -36,18 +37,18 @@ def overlap(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
     return train.select(key).intersect(test.select(key))
 
 
-def moments(df: DataFrame, by: str, x: list[str], y: str) -> dict:
-    """Per group the sums of products of (1, x..., y) as a square matrix."""
+def products(x: list[str], y: str) -> Column:
+    """The aggregate: sums of products of (1, x..., y), the upper half of a square matrix row by row."""
     cols = [F.lit(1.0), *[F.col(c).cast("double") for c in x], F.col(y).cast("double")]
-    m = len(cols)
-    sums = [F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i in range(m) for j in range(i, m)]
-    out = {}
-    for row in df.groupBy(by).agg(*sums).collect():
-        a = np.zeros((m, m))
-        for i in range(m):
-            for j in range(i, m):
-                a[i, j] = a[j, i] = row[f"s{i}_{j}"] or 0.0
-        out[row[by]] = a
+    return F.array(*[F.coalesce(F.sum(a * b), F.lit(0.0)) for i, a in enumerate(cols) for b in cols[i:]])
+
+
+def square(halves: np.ndarray, m: int) -> np.ndarray:
+    """Matrices of ``m`` rows from their upper halves."""
+    out = np.zeros((len(halves), m, m))
+    i, j = np.triu_indices(m)
+    out[:, i, j] = halves
+    out[:, j, i] = halves
     return out
 
 
@@ -64,11 +65,6 @@ def ridge(a: np.ndarray, alpha: float) -> tuple[float, np.ndarray]:
     return float(ymean - mean @ w), w
 
 
-def _linear(model: tuple[float, np.ndarray], x: list[str]) -> Column:
-    b, w = model
-    return reduce(lambda s, t: s + t, [F.col(c).cast("double") * float(v) for c, v in zip(x, w, strict=True)], F.lit(b))
-
-
 def balanced_folds(sizes: dict[str, float], k: int) -> dict[str, int]:
     """Whole groups dealt to ``k`` folds: the largest first, each to the fold with least rows."""
     load, out = [0.0] * k, {}
@@ -79,51 +75,66 @@ def balanced_folds(sizes: dict[str, float], k: int) -> dict[str, int]:
     return out
 
 
+def _fits(x: list[str], alphas: tuple, folds: int):
+    """Models of one batch: for each inner group of the others the weights of the fold that it isn't in, and, with a
+    null group, those of all others; weights are (intercept, x...) for each alpha."""
+    m = len(x) + 2
+
+    def fit(key, pdf):
+        pdf = pdf[pdf["n"] > 0].sort_values("g", kind="stable")
+        if not len(pdf):
+            return pd.DataFrame({"b": [], "g": [], "w": []})
+        cells = square(np.array(pdf["s"].tolist()), m)
+        flat = lambda a: [[i, *w.tolist()] for i, w in (ridge(a, alpha) for alpha in alphas)]
+        groups, models = [None], [flat(cells.sum(axis=0))]
+        n = min(folds, len(pdf))
+        if n > 1:
+            dealt = balanced_folds(dict(zip(pdf["g"], pdf["n"], strict=True)), n)
+            of = pdf["g"].map(dealt).to_numpy()
+            rest = [flat(cells[of != f].sum(axis=0)) for f in range(n)]
+            groups += pdf["g"].tolist()
+            models += [rest[f] for f in of]
+        return pd.DataFrame({"b": [key[0]] * len(groups), "g": groups, "w": models})
+
+    return fit
+
+
 def held_out_ridge(df: DataFrame, batch: str, inner: str, x: list[str], y: str, alphas: tuple = (0.01, 0.1, 1.0, 10.0, 100.0), folds: int = 5) -> DataFrame:
     """``df`` with ``prediction`` and ``alpha``: each batch predicted by a model of the others.
 
     The alpha of a batch is the one of least inner error: the other batches' inner groups are
     dealt to ``folds`` folds, each is predicted by the rest, and the mean absolute errors of the
-    inner groups are averaged; ties go to the smaller alpha.  Sums of (batch, inner) cells are
-    enough for all fits, and one more pass for all errors.  A batch whose others have one inner
-    group only takes the smallest alpha.
+    inner groups are averaged; ties go to the smaller alpha.  A batch whose others have one inner group only takes the
+    smallest alpha; one without others is predicted null, as are rows without a batch; rows without an inner group teach nothing.
+
+    Sums of products of (batch, inner) cells are enough for all fits.  A batch is fitted in a task of its own from one
+    matrix an inner group; models are joined to the rows as arrays of weights, and nothing passes through the driver.
     """
-    cell = df.withColumn("_cell", F.concat_ws("\x1f", F.col(batch).cast("string"), F.col(inner).cast("string")))
-    m = moments(cell, "_cell", x, y)
-    part = {k: tuple(k.split("\x1f")) for k in m}
     alphas = tuple(sorted(alphas))
-    fits, errors = {}, {}
-    for b in sorted({p[0] for p in part.values()}):
-        train = [k for k in m if part[k][0] != b]
-        if not train:
-            continue
-        total, sizes = sum(m[k] for k in train), {}
-        for k in train:
-            sizes[part[k][1]] = sizes.get(part[k][1], 0) + m[k][0, 0]
-        fits[b] = {a: ridge(total, a) for a in alphas}
-        n = min(folds, len(sizes))
-        if n < 2:
-            continue
-        of = balanced_folds(sizes, n)
-        rest = [total - sum(m[k] for k in train if of[part[k][1]] == f) for f in range(n)]
-        fold = F.coalesce(F.create_map(*[F.lit(v) for kv in of.items() for v in kv])[F.col(inner).cast("string")], F.lit(-1))
-        for a in alphas:
-            predicted = F.lit(None).cast("double")
-            for f in range(n):
-                predicted = F.when(fold == f, _linear(ridge(rest[f], a), x)).otherwise(predicted)
-            errors[b, a] = F.avg(F.when(F.col(batch).cast("string") != b, F.abs(predicted - F.col(y))))
-    best = {b: alphas[0] for b in fits}
-    if errors:
-        names = {k: f"e{i}" for i, k in enumerate(errors)}
-        per = df.groupBy(inner).agg(*[c.alias(names[k]) for k, c in errors.items()])
-        row = per.agg(*[F.avg(n).alias(n) for n in names.values()]).first()  # batches x alphas numbers
-        for b in {b for b, _ in errors}:
-            best[b] = min(alphas, key=lambda a: (row[names[b, a]], a))
-    out = chosen = F.lit(None).cast("double")
-    for b, models in fits.items():
-        here = F.col(batch).cast("string") == b
-        out, chosen = F.when(here, _linear(models[best[b]], x)).otherwise(out), F.when(here, F.lit(best[b])).otherwise(chosen)
-    return df.withColumns({"prediction": out, "alpha": chosen})
+    text = lambda c: F.col(c).cast("string")
+    rows = df.withColumns({"_b": text(batch), "_g": text(inner)})
+    cells = rows.where("_b is not null and _g is not null").groupBy("_b", "_g").agg(products(x, y).alias("s"), F.count(F.lit(1)).alias("n"))
+    cells = written(cells)
+    every = cells.groupBy("_g").agg(F.array(*[F.sum(F.col("s")[i]) for i in range((len(x) + 2) * (len(x) + 3) // 2)]).alias("all"), F.sum("n").alias("many"))
+    batches = cells.select("_b").distinct()
+    # what the other batches know of a group is all that is known less the batch's own
+    pairs = every.join(batches.agg(F.collect_list("_b").alias("_bs"))).select("*", F.explode("_bs").alias("_b")).drop("_bs")
+    others = pairs.join(cells, ["_b", "_g"], "left")
+    less = F.when(F.col("s").isNull(), F.col("all")).otherwise(F.zip_with("all", "s", lambda a, c: a - c))
+    others = others.select(F.col("_b").alias("b"), F.col("_g").alias("g"), less.alias("s"), (F.col("many") - F.coalesce("n", F.lit(0))).alias("n"))
+    models = written(others.groupBy("b").applyInPandas(_fits(x, alphas, folds), "b string, g string, w array<array<double>>"))
+
+    values = F.array(*[F.col(c).cast("double") for c in x])
+    predict = lambda w: F.aggregate(F.zip_with(F.slice(w, 2, len(x)), values, lambda u, v: u * v), F.get(w, 0), lambda s, t: s + t)
+    by_group = models.where("g is not null").groupBy(F.col("g").alias("_mg")).agg(F.collect_list(F.struct("b", "w")).alias("_models"))
+    met = rows.join(by_group, F.col("_g") == F.col("_mg")).withColumn("_model", F.explode("_models")).where(F.col("_model.b") != F.col("_b"))
+    errors = [F.avg(F.abs(predict(F.col("_model.w")[i]) - F.col(y))).alias(f"e{i}") for i in range(len(alphas))]
+    per = met.groupBy("_g", F.col("_model.b").alias("b")).agg(*errors).groupBy("b").agg(*[F.avg(f"e{i}").alias(f"e{i}") for i in range(len(alphas))])
+    best = F.array_min(F.array(*[F.struct(F.col(f"e{i}").alias("e"), F.lit(i).alias("i")) for i in range(len(alphas))]))["i"]
+    chosen = models.where("g is null").join(per.select("b", best.alias("i")), "b", "left").withColumn("i", F.coalesce("i", F.lit(0)))
+    chosen = chosen.select(F.col("b").alias("_mb"), F.col("w")[F.col("i")].alias("_w"), F.array(*map(F.lit, alphas))[F.col("i")].alias("_alpha"))
+    out = rows.join(chosen, F.col("_b") == F.col("_mb"), "left")
+    return out.select(*df.columns, predict(F.col("_w")).alias("prediction"), F.col("_alpha").alias("alpha"))
 
 
 def centroid_predictions(df: DataFrame, label: str, vector: str, fold: str) -> DataFrame:

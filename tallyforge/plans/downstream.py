@@ -107,7 +107,7 @@ FROM (SELECT l_returnflag, l_orderkey AS k, CASE WHEN l_tax > 0.01 THEN 1 + l_qu
 def prediction_plausibility(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("arm"), "l_orderkey", F.when(F.col("l_tax") > 0.01, 1 + F.col("l_quantity") / 10 + F.col("l_discount") / 100).alias("p"))
     out = downstream.plausibility(l, "arm", "p", "l_orderkey")
-    return rounded(out, "least_log", "most_log").select("arm", "predictions", "least_log", "most_log", "below_floor", F.get("below_floor_ids", F.lit(0)).alias("first_below"))
+    return rounded(out, "least_log", "most_log").select("arm", "predictions", "least_log", "most_log", "below_floor", "first_below")
 
 
 @query("value_ranges", f"SELECT unnest(['l_quantity', 'l_discount', 'l_extendedprice']) AS name, unnest([{R5('min(l_quantity)')}, {R5('min(l_discount)')}, {R5('min(l_extendedprice)')}]) AS least, unnest([{R5('max(l_quantity)')}, {R5('max(l_discount)')}, {R5('max(l_extendedprice)')}]) AS most FROM lineitem")
@@ -281,6 +281,14 @@ def linear_forecast(spark, sf_dir):
     return out.select("user_id", "day", r5(F.col("forecast") / 1000).alias("forecast"), r5(F.col("error") / 1000).alias("error"))
 
 
+@query("prediction_below_floor", "SELECT l_returnflag AS arm, l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_tax > 0.01 AND pow(10, 1 + l_quantity / 10 + l_discount / 100) < 101")
+def prediction_below_floor(spark, sf_dir):
+    p = F.when(F.col("l_tax") > 0.01, 1 + F.col("l_quantity") / 10 + F.col("l_discount") / 100)
+    key = F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("key")
+    out = downstream.below_floor(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("arm"), key, p.alias("p")), "arm", "p", "key")
+    return out.select("arm", "key.*")
+
+
 @query("knn_regression", f"""WITH s AS (SELECT s_suppkey AS k, s_nationkey::DOUBLE AS x, s_acctbal AS y FROM supplier), r AS (SELECT a.k, b.y, row_number() OVER (PARTITION BY a.k ORDER BY (a.x - b.x) * (a.x - b.x), b.k) AS n FROM s a, s b)
 SELECT k AS s_suppkey, {R5('avg(y) / 100')} AS prediction FROM r WHERE n <= 5 GROUP BY k""")
 def knn_regression(spark, sf_dir):

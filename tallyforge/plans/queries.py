@@ -629,6 +629,16 @@ def heldout_ridge(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", "l_partkey", r5(F.col("prediction") / 1e4).alias("prediction"), "alpha")
 
 
+@query("heldout_ridge_fixed", f"""WITH s AS (SELECT f AS b, count(*) AS n, avg(l_quantity) AS mx, avg(l_extendedprice) AS my, var_pop(l_quantity) AS vx, covar_pop(l_quantity, l_extendedprice) AS cxy
+  FROM lineitem, (SELECT DISTINCT l_returnflag AS f FROM lineitem) WHERE f <> l_returnflag GROUP BY f)
+SELECT l_orderkey, l_linenumber, l_partkey, {R5('(my + n * cxy / (vx * (n + 10)) * (l_quantity - mx)) / 1e5')} AS prediction, 10.0::DOUBLE AS alpha FROM lineitem JOIN s ON b = l_returnflag""")
+def heldout_ridge_fixed(spark, sf_dir):
+    """One feature and one alpha, where the model has a closed form."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", (F.col("l_suppkey") % 5).alias("policy"), "l_quantity", "l_extendedprice")
+    out = model.held_out_ridge(l, "l_returnflag", "policy", ["l_quantity"], "l_extendedprice", alphas=(10.0,))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", r5(F.col("prediction") / 1e5).alias("prediction"), "alpha")
+
+
 @query("knn_model")
 def knn_model(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("double").alias("n"), "s_acctbal")

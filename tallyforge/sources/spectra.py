@@ -8,9 +8,11 @@ import zipfile
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import running_sums
+
 
 def archive_members(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
     """(archive, member) of zip archives: read from each central directory."""
@@ -49,14 +51,14 @@ def spread_sample(names: DataFrame, most: int, strategy: str = "spread", column:
     """All names if there are at most ``most``; else the first ones, or evenly spread ones."""
     if most <= 0 or strategy not in ("first", "spread"):
         raise ValueError("a positive number and strategy first or spread")
-    w = Window.orderBy(column)
-    ranked = names.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
     if strategy == "first":
-        keep = F.col("_i") < most
-    else:
-        picks = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.floor(k * (F.col("_n") - 1) / max(most - 1, 1)))
-        keep = (F.col("_n") <= most) | F.array_contains(picks, F.col("_i").cast("long"))
-    return ranked.where(keep).drop("_i", "_n")
+        return names.orderBy(column).limit(most)
+    # places over all names come from sorted ranges; only the places picked, at most ``most``, are looked up
+    placed = running_sums(names.withColumns({"_all": F.lit(0), "_one": F.lit(1)}), ["_all"], [column], {"_i": "_one"})
+    total = names.agg(F.count(F.lit(1)).alias("_n"))
+    picks = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.floor(k * (F.col("_n") - 1) / max(most - 1, 1)))
+    kept = placed.join(F.broadcast(total)).where((F.col("_n") <= most) | F.array_contains(picks, F.col("_i").cast("long")))
+    return kept.select(*names.columns)
 
 
 def parse_spectrum(text: Column) -> Column:
