@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
 from .ranks import average_ranks
 
 
@@ -53,11 +54,16 @@ def local_peaks(df: DataFrame, series: str, at: str, value: str, threshold: floa
 
 
 def element_summary(df: DataFrame, key: str, vector: str, thresholds: tuple = (0.05, 0.1, 0.2), quantiles: tuple = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """Per key over all elements of its vectors: mean, deviation, greatest, exceedances, exact quantiles."""
+    """Per key over all elements of its vectors: mean, deviation, greatest, exceedances, exact quantiles.
+
+    Vectors may be many for one key: sums are taken before the shuffle and quantiles from sorted ranges.
+    """
     x = df.select(key, F.explode(F.col(vector).cast("array<double>")).alias("x"))
     names = [F.count_if(F.col("x") > t).alias(f"above_{i}") for i, t in enumerate(thresholds)]
-    out = x.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("deviation"), F.max("x").alias("greatest"), *names, F.percentile("x", F.array(*[F.lit(q) for q in quantiles])).alias("q"))
-    return out.select(*[c for c in out.columns if c != "q"], *[F.col("q")[i].alias(f"q{int(q * 100):02d}") for i, q in enumerate(quantiles)])
+    out = x.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("deviation"), F.max("x").alias("greatest"), *names)
+    cuts = ranks.quantiles(x, [key], "x", quantiles).select(F.col(key).alias("_k"), "q")
+    met = out.join(cuts, F.col(key).eqNullSafe(F.col("_k")), "left")
+    return met.select(*out.columns, *[F.col("q")[i].alias(f"q{int(q * 100):02d}") for i, q in enumerate(quantiles)])
 
 
 def spearman(df: DataFrame, group: str, a: str, b: str) -> DataFrame:

@@ -137,6 +137,35 @@ def held_out_ridge(df: DataFrame, batch: str, inner: str, x: list[str], y: str,
     return out.select(*df.columns, predict(F.col("_w")).alias("prediction"), F.col("_alpha").alias("alpha"))
 
 
+def leave_group_out(df: DataFrame, group: str, x: list[str], y: str, alpha: float = 1.0, trains: Column | None = None) -> DataFrame:
+    """``df`` with ``prediction``: every row by a ridge model of the other groups.
+
+    Rows where ``trains`` doesn't hold, or with a null target or group, are predicted but teach nothing (a null group is predicted
+    null).  The sums of all rows less the group's own are the sums of the others, so one aggregate serves all
+    models; each is solved from its matrix where that lies.  Null where no other group teaches.
+    """
+    m = len(x) + 2
+    ok = F.coalesce(trains if trains is not None else F.lit(True), F.lit(False)) & F.col(y).isNotNull() & F.col(group).isNotNull()
+    rows = df.withColumn("_t", ok)
+    own = rows.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("_mg"), "_t").agg(products(x, y).alias("s"), F.count(F.lit(1)).alias("n"))
+    zero = F.array_repeat(F.lit(0.0), m * (m + 1) // 2)
+    own = written(own.groupBy("_mg").agg(F.coalesce(F.max(F.when(F.col("_t"), F.col("s"))), zero).alias("s"), F.coalesce(F.max(F.when(F.col("_t"), F.col("n"))), F.lit(0)).alias("n")))
+    total = own.agg(F.array(*[F.sum(F.col("s")[i]) for i in range(m * (m + 1) // 2)]).alias("all"), F.sum("n").alias("many"))
+    others = own.join(F.broadcast(total)).select("_mg", F.zip_with("all", "s", lambda a, c: a - c).alias("s"), (F.col("many") - F.col("n")).alias("n"))
+    kind = dict(df.dtypes)[group]
+
+    def fit(batches):
+        for pdf in batches:
+            pdf = pdf[pdf["n"] > 0]
+            models = [ridge(a, alpha) for a in square(np.array(pdf["s"].tolist()).reshape(len(pdf), -1), m)] if len(pdf) else []
+            yield pd.DataFrame({"_mg": pdf["_mg"], "_w": pd.Series([[b, *w.tolist()] for b, w in models], index=pdf.index, dtype=object)})
+
+    models = others.mapInPandas(fit, f"_mg {kind}, _w array<double>")
+    values = F.array(*[F.col(c).cast("double") for c in x])
+    predicted = F.aggregate(F.zip_with(F.slice("_w", 2, len(x)), values, lambda u, v: u * v), F.get("_w", 0), lambda s, t: s + t)
+    return rows.join(models, F.col(group) == F.col("_mg"), "left").select(*df.columns, predicted.alias("prediction"))
+
+
 def centroid_predictions(df: DataFrame, label: str, vector: str, fold: str) -> DataFrame:
     """``df`` with ``predicted``: the label whose mean vector over the other folds is nearest."""
     x = df.select(label, fold, F.posexplode(vector).alias("i", "v"))

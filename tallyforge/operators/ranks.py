@@ -60,6 +60,24 @@ def average_ranks(df: DataFrame, group: list[str], value: str, name: str) -> Dat
     return df.join(ranked, _all_same(keys)).select(*df.columns, name)
 
 
+def quantiles(df: DataFrame, group: list[str], value: str, at: tuple[float, ...]) -> DataFrame:
+    """(group, n, q): the exact quantiles of each group, interpolated between neighbours; nulls don't count.
+
+    No task holds a group: equal values are counted, and of the counts in order only the one or two that a quantile
+    falls on are kept.
+    """
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_m"))
+    run = running_sums(sizes, group, [value], {"_before": "_m"})
+    totals = sizes.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(group)]).agg(F.sum("_m").alias("_n"))
+    met = run.join(totals, _all_same(group))
+    end, place = F.col("_before") + F.col("_m"), [F.lit(float(q)) * (F.col("_n") - 1) for q in at]
+    holds = lambda p: F.max(F.when((F.col("_before") <= p) & (p < end), F.col(value)))
+    ends = [c for i, p in enumerate(place) for c in (holds(F.floor(p)).alias(f"_lo{i}"), holds(F.ceil(p)).alias(f"_hi{i}"))]
+    found = met.groupBy(*group).agg(F.max("_n").alias("_n"), *ends)
+    between = lambda i, p: F.when(F.floor(p) == F.ceil(p), F.col(f"_lo{i}")).otherwise((F.ceil(p) - p) * F.col(f"_lo{i}") + (p - F.floor(p)) * F.col(f"_hi{i}"))
+    return found.select(*group, F.col("_n").alias("n"), F.array(*[between(i, p) for i, p in enumerate(place)]).alias("q"))
+
+
 # --- pairs, counted without being formed
 
 

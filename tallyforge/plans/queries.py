@@ -639,6 +639,17 @@ def heldout_ridge_fixed(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", "l_partkey", r5(F.col("prediction") / 1e5).alias("prediction"), "alpha")
 
 
+@query("leave_policy_out", f"""WITH o AS (SELECT o_orderkey, o_custkey AS g, o_totalprice / 1000 AS y, o_orderdate::DATE - DATE '1992-01-01' AS x, o_orderstatus <> 'P' AS t FROM orders),
+g AS (SELECT g, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x)::DOUBLE AS sxx, sum(x * y) AS sxy FROM o WHERE t GROUP BY g), a AS (SELECT sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy FROM g),
+r AS (SELECT k.g, a.n - coalesce(g.n, 0) AS n, a.sx - coalesce(g.sx, 0) AS sx, a.sy - coalesce(g.sy, 0) AS sy, a.sxx - coalesce(g.sxx, 0) AS sxx, a.sxy - coalesce(g.sxy, 0) AS sxy FROM (SELECT DISTINCT g FROM o) k LEFT JOIN g USING (g), a)
+SELECT o_orderkey, {R5('(sy / n + (sxy - sx * sy / n) / ((sxx - sx * sx / n) / n * (n + 1)) * (x - sx / n)) / 100')} AS prediction FROM o JOIN r USING (g)""")
+def leave_policy_out(spark, sf_dir):
+    """A customer is a policy, a pending order a censored cell: scored by a model of the other customers' orders that ended."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", (F.col("o_totalprice") / 1000).alias("y"), F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date")).alias("x"))
+    out = model.leave_group_out(o, "o_custkey", ["x"], "y", 1.0, F.col("o_orderstatus") != "P")
+    return out.select("o_orderkey", r5(F.col("prediction") / 100).alias("prediction"))
+
+
 @query("knn_model")
 def knn_model(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("double").alias("n"), "s_acctbal")

@@ -196,3 +196,21 @@ def test_folds_and_overlap(spark):
     grouped = model.group_folds(df, "g", 3)
     for f in range(3):
         assert model.overlap(grouped.where(F.col("fold") != f), grouped.where(F.col("fold") == f), "g").count() == 0
+
+
+def test_leave_group_out_matches_separate_fits(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"g{i % 7}" if i % 13 else None, float(rng.normal()), float(rng.normal()), float(rng.normal()), bool(i % 5), "x") for i in range(200)] + [("untaught", 1.0, 2.0, 3.0, False, "x"), ("g1", 1.0, 1.0, None, True, "x")]
+    df = spark.createDataFrame(rows, "grp string, a double, b double, y double, t boolean, s string").repartition(4)
+    got = {(r.grp, r.a, r.b): r.prediction for r in model.leave_group_out(df, "grp", ["a", "b"], "y", 2.0, F.col("t")).collect()}
+    assert len(got) == len(rows)
+    for g, a, b, _, _, _ in rows:
+        train = np.array([(c, d, e) for h, c, d, e, t, _ in rows if h is not None and h != g and t and e is not None])
+        x, y = train[:, :2], train[:, 2]
+        z = (x - x.mean(0)) / x.std(0)
+        w = np.linalg.solve(z.T @ z + 2.0 * np.eye(2), z.T @ (y - y.mean()))
+        want = None if g is None else y.mean() + ((np.array([a, b]) - x.mean(0)) / x.std(0)) @ w
+        assert got[g, a, b] == (None if want is None else pytest.approx(want, abs=1e-9))
+    assert model.leave_group_out(df.limit(0), "grp", ["a", "b"], "y").count() == 0
+    alone = model.leave_group_out(df.where("grp = 'g2'"), "grp", ["a", "b"], "y")
+    assert alone.where("prediction is null").count() == alone.count() > 0

@@ -94,3 +94,15 @@ def test_a_million_rows_of_one_group(spark):
 
 def test_pairs_of_nothing(spark):
     assert ranks.pair_counts(spark.createDataFrame([], "g int, life int, low int, s int"), ["g"], "life", "low", "s").count() == 0
+
+
+def test_exact_quantiles(spark):
+    r = random.Random(3)
+    rows = [(r.choice(["hot"] * 5 + ["a", None]), r.choice([1.5, 2.5, r.random()])) for _ in range(2000)] + [("one", 4.0), ("hot", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    at = (0.0, 0.05, 0.25, 0.5, 0.99, 1.0)
+    got = {x.g: (x.n, x.q) for x in ranks.quantiles(df, ["g"], "v", at).collect()}
+    want = {g: [v for h, v in rows if h == g and v is not None] for g in {g for g, _ in rows}}
+    assert set(got) == {g for g, v in want.items() if v}
+    for g, (n, q) in got.items():
+        assert n == len(want[g]) and q == pytest.approx(np.quantile(want[g], at).tolist(), abs=1e-12)
