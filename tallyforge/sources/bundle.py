@@ -7,8 +7,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ledger
+from ..operators import governance, ledger, study
 from . import strict_json
+from .schema import SchemaSet
 
 #: Table ids of an index and the row types they hold.
 TABLE_IDS = {f"{k}s": k for k in ledger.TABLES}
@@ -123,10 +124,83 @@ def scope_issues(index: dict, tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def validate(spark: SparkSession, root: str, name: str = "bundle.json") -> tuple[DataFrame, dict[str, DataFrame]]:
-    """All issues of a bundle in a stable order, and its tables."""
+#: Readiness levels at which the bridge panel must be crossed; elsewhere it is only told of.
+BRIDGE_BLOCKS = {"pilot", "input_close", "outcome_reveal", "external_validation", "release"}
+CHECKS = ledger.CHECKS | {
+    "study_contract_semantics": study.CODES,
+    "governance_hashes_and_access": tuple(code for code, _ in governance.RULES),
+    "source_denominators_reconcile": (
+        "source_denominator_mismatch", "source_denominator_artifact_missing", "source_denominator_hash_mismatch",
+        "source_denominator_snapshot_unavailable", "source_denominator_snapshot_invalid", "source_denominator_snapshot_mismatch",
+    ),
+    "bridge_crossing": ("bridge_crossing_insufficient",),
+}
+
+
+def read_study(spark: SparkSession, root: str, index: dict, files: DataFrame) -> tuple[DataFrame | None, list[tuple[str, str]]]:
+    """(study_id, doc) of the study document that the index names, null if it can't be used, and (code, detail) of what is
+    wrong with its file."""
+    told = index.get("study_spec")
+    if not isinstance(told, dict):
+        return None, [("study_descriptor_missing", "")]
+    path = told.get("path")
+    if not isinstance(path, str) or path.startswith("/") or ".." in path.replace("\\", "/").split("/") or not path:
+        return None, [("unsafe_study_path", str(path))]
+    held = files.where(F.col("path") == path).first()
+    if held is None:
+        return None, [("study_file_missing", path)]
+    issues = [(code, path) for code, field in (("study_hash_mismatch", "sha256"), ("study_bytes_mismatch", "bytes")) if told.get(field) != held[field]]
+    doc = strict_json.read_documents(spark, f"{root}/{path}").select(F.lit(index["study_id"]).alias("study_id"), "doc", F.coalesce(F.schema_of_variant("doc"), F.lit("")).alias("shape"))
+    shape = doc.first().shape
+    if not shape.startswith("OBJECT"):
+        return None, [*issues, ("study_not_object" if shape else "study_json_invalid", path)]
+    return doc.select("study_id", "doc"), issues
+
+
+def study_issues(spark: SparkSession, root: str, index: dict, tables: dict[str, DataFrame], files: DataFrame, readiness: str | None = None, schemas: dict[str, dict] | None = None, schema_name: str | None = None) -> DataFrame:
+    """(code, row_type, row_id, detail, severity): the study's file and, with ``schemas``, its form; its contract with the ledger,
+    governance, source denominators and the bridge panel."""
+    studies, wrong = read_study(spark, root, index, files)
+    as_rows = lambda df: df.select("code", F.coalesce(F.col("row_type"), F.lit("study")).alias("row_type"), "row_id", "detail", "severity")
+    out = spark.createDataFrame([(c, "study", None, d, "error") for c, d in wrong], "code string, row_type string, row_id string, detail string, severity string")
+    if studies is None:
+        return out
+    index_text = spark.createDataFrame([(index["study_id"], json.dumps(index))], "study_id string, value string")
+    bundles = index_text.select("study_id", F.try_parse_json("value").alias("doc"))
+    if schemas:
+        told = studies.select("study_id", F.explode(SchemaSet(schemas).errors(F.col("doc"), schema_name)).alias("e"))
+        told = told.select(F.lit("study_schema_invalid").alias("code"), F.lit(None).cast("string").alias("row_type"), F.col("e.path").alias("row_id"), F.col("e.message").alias("detail"), F.lit("error").alias("severity"))
+        out = out.unionByName(as_rows(told))
+    paths = {str(t.get("path")): str(t.get("table_id")) for t in index["tables"] if isinstance(t, dict)}
+    listed = spark.createDataFrame(list(paths.items()), "path string, table_id string")
+    delivered = files.join(listed, "path").select(F.lit(index["study_id"]).alias("study_id"), "table_id", "sha256")
+    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(root, wholetext=True)
+    snapshots = texts.select(F.lit(index["study_id"]).alias("study_id"), _relative(F.col("_metadata.file_path"), root).alias("path"), "value")
+    blocking = readiness in BRIDGE_BLOCKS
+    found = [
+        study.violations(studies, tables).withColumn("severity", F.lit("error")),
+        governance.violations(studies, bundles, tables, delivered),
+        governance.denominator_issues(bundles, tables, snapshots),
+        governance.bridge_issues(governance.bridge(studies, tables, blocking), blocking),
+    ]
+    for df in found:
+        out = out.unionByName(as_rows(df if "row_type" in df.columns else df.withColumn("row_type", F.lit(None).cast("string"))))
+    return out
+
+
+def validate(spark: SparkSession, root: str, name: str = "bundle.json", with_study: bool = True, readiness: str | None = None, schemas: dict[str, dict] | None = None, schema_name: str | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """All issues of a bundle (code, row_type, row_id, detail, severity) in a stable order, and its tables.
+
+    ``with_study``: the study document is read and held against the ledger too; without it only the ledger is
+    checked.  ``schemas`` and ``schema_name``: JSON schemas and the one for study documents.
+    """
     index, tables, issues, files = load(spark, root, name)
+    issues = issues.withColumn("severity", F.lit("error"))
     if tables:
         counts = index.get("source_denominator_counts")
-        issues = issues.unionByName(ledger.validate(tables, index["study_id"], counts if isinstance(counts, dict) else {}, files)).unionByName(scope_issues(index, tables))
-    return issues.orderBy("code", "row_type", "row_id", "detail"), tables
+        declared = None if with_study else counts if isinstance(counts, dict) else {}
+        rows = ledger.validate(tables, index["study_id"], declared, files).unionByName(scope_issues(index, tables))
+        issues = issues.unionByName(rows.withColumn("severity", F.lit("error")))
+        if with_study:
+            issues = issues.unionByName(study_issues(spark, root, index, tables, files, readiness, schemas, schema_name))
+    return issues.distinct().orderBy("code", "row_type", "row_id", "detail"), tables
