@@ -656,4 +656,4 @@ def knn_model(spark, sf_dir):
     return model.knn(s.where("s_suppkey % 2 = 0"), s.where("s_suppkey % 2 = 1"), "s_suppkey", ["n"], "s_acctbal")
 
 
-from . import downstream, governance, ledgers, studies  # noqa: E402, F401  they register their queries in the same tables
+from . import downstream, files, governance, ledgers, studies  # noqa: E402, F401  they register their queries in the same tables

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import io
 import json
-import zipfile
 
 import numpy as np
 import pandas as pd
@@ -12,39 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranks import running_sums
+from . import ranges
 
 
 def archive_members(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
     """(archive, member) of zip archives: read from each central directory."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(p, n) for p, c in zip(pdf.path, pdf.content, strict=True) for n in zipfile.ZipFile(io.BytesIO(c)).namelist() if n.endswith(suffix)]
-            yield pd.DataFrame(rows, columns=["archive", "member"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string")
+    return ranges.zip_entries(spark, path, suffix).select("archive", "member")
 
 
 def archive_texts(spark: SparkSession, path: str, members: DataFrame | None = None, suffix: str = ".json") -> DataFrame:
     """(archive, member, value) of the members' texts; ``members`` (member) restricts them before decoding."""
-    if members is None:
-        members = archive_members(spark, path, suffix).select("member")
-    wanted = members.groupBy(F.lit(1).alias("g")).agg(F.collect_set("member").alias("wanted")).select("wanted")
-    files = spark.read.format("binaryFile").load(path).select("path", "content").join(F.broadcast(wanted))
-
-    def run(batches):
-        for pdf in batches:
-            for p, c, w in zip(pdf.path, pdf.content, pdf.wanted, strict=True):
-                with zipfile.ZipFile(io.BytesIO(c)) as z:
-                    rows = []
-                    for n in sorted(set(w) & set(z.namelist())):
-                        try:
-                            rows.append((p, n, z.read(n).decode("utf-8")))
-                        except (UnicodeDecodeError, zipfile.BadZipFile):
-                            continue
-                yield pd.DataFrame(rows, columns=["archive", "member", "value"])
-
-    return files.mapInPandas(run, "archive string, member string, value string")
+    return ranges.zip_texts(spark, path, members, suffix)
 
 
 def spread_sample(names: DataFrame, most: int, strategy: str = "spread", column: str = "member") -> DataFrame:
