@@ -45,6 +45,29 @@ def closure(edges: DataFrame) -> DataFrame:
     return known
 
 
+def least_below(edges: DataFrame, values: DataFrame) -> DataFrame:
+    """(node, least): the least value that stands at a node or at what it leads to.
+
+    ``values`` (node, value) may name a node several times; null nodes and values count for nothing, and a node without any
+    value below it has no row.  The state is one row a node.  In each round a node takes the least value of the nodes
+    it leads to, and an edge to a node with one edge of its own jumps over it, so a chain of n nodes takes about log2(n) rounds
+    (a chain of branching nodes one round a node).  It ends with the first round that changes no value; cycles are no matter.
+    """
+    edges = written(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
+    state = written(values.where("node is not null and value is not null").groupBy("node").agg(F.min("value").alias("least")))
+    while True:
+        out = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.max("dst").alias("next"))
+        nodes = out.join(state, "node", "full").withColumnRenamed("node", "dst")
+        met = written(edges.join(nodes, "dst", "left"))
+        gained = met.where("least is not null").groupBy(F.col("src").alias("node")).agg(F.min("least").alias("gain"))
+        state = state.join(gained, "node", "full").select("node", F.least("least", "gain").alias("least"), F.coalesce(F.col("gain") < F.col("least"), F.col("gain").isNotNull()).alias("fresh"))
+        state = written(state)
+        if not state.where("fresh").limit(1).count():
+            return state.select("node", "least")
+        state = state.drop("fresh")
+        edges = written(met.where("n is not null").select("src", F.when(F.col("n") == 1, F.col("next")).otherwise(F.col("dst")).alias("dst")).where("src <> dst").distinct())
+
+
 def cyclic_residue(edges: DataFrame) -> DataFrame:
     """(node) left when nodes without incoming edges are peeled off: cycles and what follows them."""
     left = written(edges.select("src", "dst").where("src is not null and dst is not null").distinct())

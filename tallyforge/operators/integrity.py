@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import graph
+
 ISSUE = ("code", "row_type", "row_id", "detail")
 
 
@@ -112,10 +114,22 @@ def edges_across(edges: DataFrame, nodes: DataFrame, partition: str) -> DataFram
     return edges.join(a, "src").join(b, "dst").where("src_part <> dst_part").select("src", "dst", "src_part", "dst_part")
 
 
-def freeze_before_access(frozen: DataFrame, outcomes: DataFrame, closure: DataFrame) -> DataFrame:
+def freeze_before_access(frozen: DataFrame, outcomes: DataFrame, edges: DataFrame) -> DataFrame:
     """Representations (node, rep_id, frozen_at) not frozen strictly before an outcome (node,
-    outcome_id, accessible_at) of the node itself or of what descends from it became accessible."""
-    reach = closure.select(F.col("src").alias("node"), F.col("dst").alias("at")).unionByName(frozen.select("node", F.col("node").alias("at"))).distinct()
+    outcome_id, accessible_at) of the node itself or of what descends from it became accessible.
+
+    A node lies on the way from such a representation to such an outcome just if the latest freeze above it isn't before the
+    earliest access below it; both are carried along ``edges`` (src, dst) with one row a node.  Paths are closed among these
+    nodes only, so a ledger in order has none to close.  Rows with a null node or time are never in breach.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    access = graph.least_below(edges, outcomes.select("node", micros("accessible_at").alias("value")))
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    freeze = graph.least_below(back, frozen.select("node", (-micros("frozen_at")).alias("value")))
+    late = access.withColumnRenamed("least", "access").join(freeze, "node").where(-F.col("least") >= F.col("access")).select("node")
+    late = graph.written(late)
+    inside = edges.join(late.select(F.col("node").alias("src")), "src", "left_semi").join(late.select(F.col("node").alias("dst")), "dst", "left_semi")
+    reach = graph.closure(inside).select(F.col("src").alias("node"), F.col("dst").alias("at")).unionByName(late.select("node", F.col("node").alias("at"))).distinct()
     met = frozen.join(reach, "node").join(outcomes.select(F.col("node").alias("at"), "outcome_id", "accessible_at"), "at")
     return met.where("frozen_at >= accessible_at").select("rep_id", "outcome_id", "frozen_at", "accessible_at").dropDuplicates(["rep_id", "outcome_id"])
 

@@ -72,7 +72,8 @@ found AS (
   UNION ALL SELECT 'ineligible_representation_marked_available', count(*) FROM o WHERE used AND k % 2 = 1
   UNION ALL SELECT 'prohibited_input_check_not_passed', count(*) FROM o WHERE used AND k % 19 = 0
   UNION ALL SELECT 'builder_blinding_missing', count(*) FROM o WHERE used AND k % 37 = 0
-  UNION ALL SELECT 'unit_freeze_after_outcome_access', count(*) FROM o WHERE k % 21 <= 10
+  UNION ALL SELECT 'unit_freeze_after_outcome_access', (SELECT count(*) FROM o WHERE k % 21 <= 10)
+    + (SELECT count(*) FROM o JOIN o x ON x.k = o.k + 1 WHERE o.k % 43 = 0 AND x.d + 30 >= o.d + 20 + (o.k % 21)::INT)
   UNION ALL SELECT 'outcome_eligibility_inconsistent', count(*) FROM o WHERE k % 33 = 0
   UNION ALL SELECT 'outcome_value_type_mismatch', count(*) FROM o WHERE p = '1-URGENT' AND k % 9 = 0
   UNION ALL SELECT 'exact_outcome_followup_invalid', count(*) FROM o WHERE p = '1-URGENT' AND k % 14 = 0

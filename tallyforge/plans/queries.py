@@ -315,7 +315,7 @@ def freeze_before_access(spark, sf_dir):
     n, o = table(spark, sf_dir, "nation"), table(spark, sf_dir, "orders")
     frozen = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"), F.concat(F.lit("f"), F.col("n_nationkey").cast("string")).alias("rep_id"), F.lit("1996-06-01").cast("date").alias("frozen_at"))
     outcomes = o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("node"), F.col("o_orderkey").alias("outcome_id"), F.to_date("o_orderdate").alias("accessible_at"))
-    return integrity.freeze_before_access(frozen, outcomes, graph.closure(lineage(spark, sf_dir)))
+    return integrity.freeze_before_access(frozen, outcomes, lineage(spark, sf_dir))
 
 
 @query("denominator_reconcile", """SELECT unnest(['orders', 'open', 'customers', 'declared_wrong']) AS name, unnest([count(*), count(*) FILTER (o_orderstatus = 'O'), count(DISTINCT o_custkey), count(*)]) AS actual,
