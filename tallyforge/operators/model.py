@@ -32,6 +32,56 @@ def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
     return df.join(sizes.select(group, fold.alias("fold")), group)
 
 
+def _deal(k: int):
+    """Groups one by one, the largest first, each to the fold where the squares of its classes' shares grow least."""
+
+    def run(pdf):
+        table = pdf.pivot(index="_g", columns="_l", values="_n").fillna(0)
+        table = table.iloc[np.lexsort((table.index.to_numpy(str), -table.to_numpy().sum(axis=1)))]
+        counts = table.to_numpy(float)
+        share = counts / counts.sum(axis=0)
+        load, folds = np.zeros((k, share.shape[1])), []
+        for x in share:
+            f = int(np.argmin(load @ x))
+            load[f] += x
+            folds.append(f)
+        return pd.DataFrame({"_g": table.index, "fold": folds})
+
+    return run
+
+
+def stratified_group_folds(df: DataFrame, label: str, group: str, k: int, seed: int = 17, parts: int = 2000) -> DataFrame:
+    """``df`` with ``fold``: whole groups, every fold with about the same share of each label.
+
+    Groups of at least 1 / (``parts`` * k) of all rows, at most ``parts`` * k of them, are dealt one by one.  Any other
+    group goes by the rarest of its labels: along the groups of a label in a hashed order, each fold takes
+    a stretch as long as its lack of that label after the large groups.  So what one task sees is bounded, and a share is off by a small
+    group at most, but for labels that come along with rarer ones.  A null label is a label; rows without a group have no fold.
+    """
+    rows = df.withColumns({"_g": F.col(group).cast("string"), "_l": F.to_json(F.struct(F.col(label).alias("l")))})
+    cells = written(rows.where("_g is not null").groupBy("_g", "_l").agg(F.count(F.lit(1)).alias("_n")))
+    total = cells.agg(F.sum("_n")).first()[0] or 0
+    labels = cells.groupBy("_l").agg(F.sum("_n").alias("_all"))
+    groups = cells.join(labels, "_l").groupBy("_g").agg(F.sum("_n").alias("_size"), F.min(F.struct("_all", "_l", "_n")).alias("_r"))
+    groups = written(groups.select("_g", (F.col("_size") * parts * k >= total).alias("_large"), "_r._l", "_r._n"))
+    large = cells.join(groups.where("_large").select("_g"), "_g")
+    large = written(large.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(_deal(k), "_g string, fold int"))
+    sums = F.array(*[F.coalesce(F.sum(F.when(F.col("fold") == f, F.col("_n"))), F.lit(0)).cast("double") for f in range(k)])
+    load = cells.join(large, "_g").groupBy("_l").agg(sums.alias("_load"))
+    small = groups.where("not _large").withColumn("_h", F.xxhash64("_g", F.lit(seed)))
+    lacks = small.groupBy("_l").agg(F.sum("_n").cast("double").alias("_s")).join(load, "_l", "left")
+    lacks = lacks.withColumn("_load", F.coalesce("_load", F.array_repeat(F.lit(0.0), k)))
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    # folds are filled to one level: the least of those that any number of the emptiest folds would reach
+    level = F.array_min(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda m: (F.col("_s") + add(F.slice(F.array_sort("_load"), F.lit(1), m))) / m))
+    lacks = lacks.withColumn("_level", level).withColumn("_lack", F.transform("_load", lambda x: F.greatest(F.col("_level") - x, F.lit(0.0))))
+    ends = F.transform(F.sequence(F.lit(1), F.lit(k - 1)), lambda m: add(F.slice("_lack", F.lit(1), m))) if k > 1 else F.array().cast("array<double>")
+    small = running_sums(small, ["_l"], ["_h", "_g"], {"_before": "_n"}).join(lacks.select("_l", ends.alias("_ends")), "_l")
+    middle = F.coalesce("_before", F.lit(0)) + F.col("_n") / 2
+    small = small.select("_g", F.size(F.filter("_ends", lambda e: e <= middle)).alias("fold"))
+    return rows.join(large.unionByName(small), "_g", "left").select(*[c for c in df.columns if c != "fold"], "fold")
+
+
 def overlap(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
     """Keys in both: must be empty."""
     return train.select(key).intersect(test.select(key))

@@ -611,6 +611,13 @@ def recoverability_probe(spark, sf_dir):
     return probe.audit(e, {"embedding": "embedding"}, "label", "vec_id", components=8)
 
 
+@query("stratified_group_folds")
+def stratified_group_folds(spark, sf_dir):
+    """Customers dealt whole to folds that have alike shares of priorities."""
+    dealt = model.stratified_group_folds(table(spark, sf_dir, "orders"), "o_orderpriority", "o_custkey", 5)
+    return dealt.groupBy("fold", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_custkey").alias("customers"))
+
+
 @query("group_folds", """SELECT o_custkey, (CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END)::INT AS fold FROM (SELECT o_custkey, row_number() OVER (ORDER BY count(*) DESC, o_custkey) - 1 AS r FROM orders GROUP BY o_custkey)""")
 def group_folds(spark, sf_dir):
     return model.group_folds(table(spark, sf_dir, "orders"), "o_custkey", 5).select("o_custkey", "fold").distinct()
