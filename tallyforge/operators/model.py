@@ -246,26 +246,48 @@ def recoverability(df: DataFrame, label: str, vector: str, key: str, folds: int
     return row.withColumn("score", score).withColumn("severity", severity(F.col("score")))
 
 
-def knn(train: DataFrame, test: DataFrame, key: str, x: list[str], y: str, k: int = 5, most: int = 100_000) -> DataFrame:
-    """(key, prediction): the mean target of the ``k`` nearest training rows, ties to smaller keys.
-
-    The training rows are checked to be ``most`` at most and go to all tasks as arrays; test rows
-    stay where they are, each batch against blocks of training rows.
-    """
-    rows = train.select(F.col(key).cast("long"), F.col(y).cast("double"), *[F.col(c).cast("double") for c in x]).limit(most + 1).toArrow()
-    if rows.num_rows > most:
-        raise ValueError(f"over {most} training rows: use a model that is fitted")
-    keys, target = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-    points = np.stack([rows.column(i + 2).to_numpy() for i in range(len(x))], axis=1) if rows.num_rows else np.zeros((0, len(x)))
-
-    def run(batches):
-        for pdf in batches:
-            at, found = pdf[x].to_numpy(float), []
+def _nearest(k: int):
+    """The ``k`` nearest training rows of one block to each test row of another."""
+
+    def run(asked, known):
+        out = []
+        if len(asked) and len(known):
+            order = np.argsort(known["_k"].to_numpy(), kind="stable")
+            keys, target = known["_k"].to_numpy()[order], known["_y"].to_numpy()[order]
+            points = np.stack(known["_x"].to_numpy()[order])
+            at = np.stack(asked["_x"].to_numpy())
             for i in range(0, len(at), 256):
-                d = ((at[i : i + 256, None, :] - points[None]) ** 2).sum(axis=2)
+                d = np.zeros((len(at[i : i + 256]), len(points)))
+                for c in range(points.shape[1]):
+                    d += (at[i : i + 256, c, None] - points[None, :, c]) ** 2
                 for row in d:
-                    near = np.lexsort((keys, row))[:k]
-                    found.append(target[near].mean() if len(near) else None)
-            yield pd.DataFrame({key: pdf[key], "prediction": pd.array(found, dtype="Float64")})
+                    # all that are as near as the k-th, then by distance and key
+                    may = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
+                    best = may[np.argsort(row[may], kind="stable")[:k]]
+                    out.append([{"d": float(row[j]), "k": int(keys[j]), "y": float(target[j])} for j in best])
+        return pd.DataFrame({"_i": asked["_i"] if out else pd.Series([], dtype="int64"), "near": pd.Series(out, index=asked.index if out else None, dtype=object)})
 
-    return test.select(F.col(key).cast("long").alias(key), *[F.col(c).cast("double").alias(c) for c in x]).mapInPandas(run, f"`{key}` long, prediction double")
+    return run
+
+
+def knn(train: DataFrame, test: DataFrame, key: str, x: list[str], y: str, k: int = 5, block: int = 20_000) -> DataFrame:
+    """(key, prediction): for every test row the mean target of the ``k`` nearest training rows, ties to smaller keys.
+
+    All test rows meet all training rows, in pairs of blocks of about ``block`` rows, a task each; only the ``k`` nearest of a block leave
+    it.  Training rows with a null or NaN in key, target or features teach nothing; test rows with such features, and all where nothing
+    teaches, are predicted null.
+    """
+    point = F.array(*[F.col(c).cast("double") for c in x]).alias("_x")
+    plain = ~F.exists("_x", lambda v: v.isNull() | F.isnan(v))
+    known = train.select(F.col(key).cast("long").alias("_k"), F.col(y).cast("double").alias("_y"), point)
+    known = written(known.where(plain & F.col("_k").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_y")).withColumn("_i", F.monotonically_increasing_id()))
+    asked = written(test.select(F.col(key).cast("long").alias(key), point).withColumn("_i", F.monotonically_increasing_id()))
+    n, m = max(1, -(-known.count() // block)), max(1, -(-asked.count() // block))
+    # numbers of rows are dealt round, so that blocks are alike in size whatever the keys
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
+    a = asked.where(plain).select("_i", "_x", (F.col("_i") % m).cast("int").alias("_m"), every(n).alias("_n"))
+    b = known.select("_k", "_y", "_x", (F.col("_i") % n).cast("int").alias("_n"), every(m).alias("_m"))
+    near = a.groupBy("_m", "_n").cogroup(b.groupBy("_m", "_n")).applyInPandas(_nearest(k), "_i long, near array<struct<d:double,k:long,y:double>>")
+    best = near.groupBy("_i").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("_near"))
+    mean = F.aggregate("_near", F.lit(0.0), lambda s, r: s + r["y"]) / F.nullif(F.size("_near"), F.lit(0))
+    return asked.join(best, "_i", "left").select(key, mean.alias("prediction"))
