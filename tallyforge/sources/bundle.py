@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import posixpath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import governance, ledger, study
-from . import strict_json
+from ..operators.graph import written
+from . import ranges, strict_json
 from .schema import SchemaSet
 
 #: Table ids of an index and the row types they hold.
@@ -60,13 +62,14 @@ def _relative(path, root: str):
 def load(spark: SparkSession, root: str, name: str = "bundle.json") -> tuple[dict, dict[str, DataFrame], DataFrame, DataFrame]:
     """(index, typed tables, issues of files and rows, files of the bundle)."""
     index = read_index(spark, root, name)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    files = files.select(_relative(F.col("path"), root).alias("path"), F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    # each file is hashed once, by blocks; what is held after is a row a file
+    files = written(ranges.file_hashes(spark, root, recursiveFileLookup="true").select(_relative(F.col("path"), root).alias("path"), "bytes", "sha256"))
     declared = [t for t in index["tables"] if isinstance(t, dict)]
     rows, issues = [], []
     seen: set[str] = set()
+    taken: set[str] = set()
     tables: dict[str, DataFrame] = {}
-    held = {r.path: r for r in files.where(F.col("path").isin([str(t.get("path")) for t in declared])).collect()}  # as many as the index lists
+    held = {r.path: r for r in files.where(F.col("path").isin([posixpath.normpath(str(t.get("path"))) for t in declared])).collect()}  # as many as the index lists
     for t in declared:
         kind, path, tid = TABLE_IDS.get(t.get("table_id")), str(t.get("path")), str(t.get("table_id"))
         if tid in seen:
@@ -79,10 +82,16 @@ def load(spark: SparkSession, root: str, name: str = "bundle.json") -> tuple[dic
         if path.startswith("/") or ".." in path.replace("\\", "/").split("/") or not path:
             issues.append(("unsafe_table_path", tid, path))
             continue
+        path = posixpath.normpath(path)
         f = held.get(path)
         if f is None:
             issues.append(("table_file_missing", tid, path))
             continue
+        if path in taken:
+            # one file can't be two tables
+            issues.append(("duplicate_table_path", tid, path))
+            continue
+        taken.add(path)
         if t.get("bytes") != f.bytes:
             issues.append(("table_bytes_mismatch", tid, path))
         if t.get("sha256") != f.sha256:

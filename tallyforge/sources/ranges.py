@@ -65,9 +65,10 @@ def _local(path: str) -> str:
     return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
 
 
-def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, length, content): all files under ``path``; the content is null, and never read, where tasks open files themselves."""
-    found = spark.read.format("binaryFile").load(path)
+def files(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
+    """(path, length, content): all files under ``path``; the content is null, and never read, where tasks open files themselves.
+    ``options`` are those of Spark's reader of files."""
+    found = spark.read.format("binaryFile").options(**options).load(path)
     if all(map(can_open, [path] if isinstance(path, str) else path)):
         return found.select("path", "length", F.lit(None).cast("binary").alias("content"))
     return found.select("path", "length", "content")
@@ -77,7 +78,7 @@ def _source(path: str, content):
     return opened(path) if content is None else io.BytesIO(content)
 
 
-def file_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def file_hashes(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
     """(path, bytes, sha256, md5) of every file, its state carried through blocks of ``BLOCK`` bytes.
 
     Files are dealt to tasks by their lengths; one file is one task's work, as both hashes are sequential.
@@ -94,9 +95,9 @@ def file_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
                         md5.update(block)
                 yield pd.DataFrame({"path": [p], "bytes": [n], "sha256": [sha.hexdigest()], "md5": [md5.hexdigest()]})
 
-    hashed = files(spark, path).select("path", "content").mapInPandas(run, "path string, bytes long, sha256 string, md5 string")
+    hashed = files(spark, path, **options).select("path", "content").mapInPandas(run, "path string, bytes long, sha256 string, md5 string")
     # Spark's scans leave out empty files; its listing, which the driver holds anyway, has them
-    found = spark.read.format("binaryFile").load(path)
+    found = spark.read.format("binaryFile").options(**options).load(path)
     listed = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(p)),) for p in found.inputFiles()], "path string")
     empty = listed.join(found.select("path"), "path", "left_anti")
     nothing = F.lit("").cast("binary")

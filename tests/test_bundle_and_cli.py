@@ -40,11 +40,12 @@ def test_table_issues(spark, tmp_path):
         index["tables"][2]["path"] = "../x.json"
         index["tables"][3]["path"] = "ledgers/gone.json"
         index["tables"][4]["row_count"] = 9
+        index["tables"][7]["path"] = "./" + index["tables"][6]["path"]
         index["tables"].append(index["tables"][5])
         index["nonconfirmatory_scope"] = {"cost_ids": ["co1", "gone"]}
 
     index, tables, issues, files = bundle.load(spark, write(tmp_path / "b", change))
-    assert {r.code for r in issues.collect()} == {"table_bytes_mismatch", "table_hash_mismatch", "unsafe_table_path", "table_file_missing", "table_row_count_mismatch", "duplicate_table_id"}
+    assert {r.code for r in issues.collect()} == {"table_bytes_mismatch", "table_hash_mismatch", "unsafe_table_path", "table_file_missing", "table_row_count_mismatch", "duplicate_table_id", "duplicate_table_path"}
     assert {(r.code, r.row_id) for r in bundle.scope_issues(index, tables).collect()} == {("nonconfirmatory_scope_flag_mismatch", "co1"), ("nonconfirmatory_scope_reference_missing", "gone")}
 
 
