@@ -15,6 +15,9 @@ from ..functions.scalars import leakage_score, severity
 from .graph import written
 from .ranks import running_sums
 
+#: Weights of models that are broadcast: 8 MB.
+_FEW = 1_000_000
+
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 17) -> DataFrame:
     """``df`` with ``fold``: rows of each label dealt round in a seeded order."""
@@ -158,7 +161,9 @@ def held_out_ridge(df: DataFrame, batch: str, inner: str, x: list[str], y: str,
     smallest alpha; one without others is predicted null, as are rows without a batch; rows without an inner group teach nothing.
 
     Sums of products of (batch, inner) cells are enough for all fits.  A batch is fitted in a task of its own from one
-    matrix an inner group; models are joined to the rows as arrays of weights, and nothing passes through the driver.
+    matrix an inner group; models are joined to the rows as arrays of weights.  Rows have few batches and inner groups, so a join that
+    deals them by these would send a large share to one task: models of up to ``_FEW`` weights are broadcast instead, and the rows
+    stay where they are; with more models, which many groups share, rows are dealt by them.
     """
     alphas = tuple(sorted(alphas))
     text = lambda c: F.col(c).cast("string")
@@ -176,14 +181,15 @@ def held_out_ridge(df: DataFrame, batch: str, inner: str, x: list[str], y: str,
 
     values = F.array(*[F.col(c).cast("double") for c in x])
     predict = lambda w: F.aggregate(F.zip_with(F.slice(w, 2, len(x)), values, lambda u, v: u * v), F.get(w, 0), lambda s, t: s + t)
+    small = F.broadcast if models.count() * len(alphas) * (len(x) + 1) <= _FEW else lambda df: df
     by_group = models.where("g is not null").groupBy(F.col("g").alias("_mg")).agg(F.collect_list(F.struct("b", "w")).alias("_models"))
-    met = rows.join(by_group, F.col("_g") == F.col("_mg")).withColumn("_model", F.explode("_models")).where(F.col("_model.b") != F.col("_b"))
+    met = rows.join(small(by_group), F.col("_g") == F.col("_mg")).withColumn("_model", F.explode("_models")).where(F.col("_model.b") != F.col("_b"))
     errors = [F.avg(F.abs(predict(F.col("_model.w")[i]) - F.col(y))).alias(f"e{i}") for i in range(len(alphas))]
     per = met.groupBy("_g", F.col("_model.b").alias("b")).agg(*errors).groupBy("b").agg(*[F.avg(f"e{i}").alias(f"e{i}") for i in range(len(alphas))])
     best = F.array_min(F.array(*[F.struct(F.col(f"e{i}").alias("e"), F.lit(i).alias("i")) for i in range(len(alphas))]))["i"]
     chosen = models.where("g is null").join(per.select("b", best.alias("i")), "b", "left").withColumn("i", F.coalesce("i", F.lit(0)))
     chosen = chosen.select(F.col("b").alias("_mb"), F.col("w")[F.col("i")].alias("_w"), F.array(*map(F.lit, alphas))[F.col("i")].alias("_alpha"))
-    out = rows.join(chosen, F.col("_b") == F.col("_mb"), "left")
+    out = rows.join(small(chosen), F.col("_b") == F.col("_mb"), "left")
     return out.select(*df.columns, predict(F.col("_w")).alias("prediction"), F.col("_alpha").alias("alpha"))
 
 
