@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,14 +86,17 @@ def _levels(n: int) -> int:
     return max(n - 1, 0).bit_length()
 
 
-def dominated(score: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """For every place the weight of those before it with a strictly lower score: halves are merged
-    level by level, all of a level at once."""
+def dominated(score: np.ndarray, weight: np.ndarray, run: np.ndarray | None = None) -> np.ndarray:
+    """For every place the weight of those before it with a strictly lower score, in its own run if places have rising
+    numbers of ``run``: halves are merged level by level, all of a level and of all runs at once."""
     n = len(score)
     out = np.zeros(n, np.int64)
     rank = np.unique(score, return_inverse=True)[1].astype(np.int64)
-    at = np.arange(n)
-    for level in range(_levels(n)):
+    run = np.zeros(n, np.int64) if run is None else run
+    place = np.arange(n) - np.searchsorted(run, run)
+    levels = _levels(int(place.max(initial=0)) + 1)
+    at = (run << levels) + place  # no node holds places of two runs
+    for level in range(levels):
         node, right = at >> (level + 1), (at >> level) & 1
         order = np.lexsort((1 - right, rank, node))  # of equal scores the right half first: they don't count
         left = np.where(right[order] == 0, weight[order], 0)
@@ -108,20 +112,43 @@ def _lower_before(points: DataFrame) -> DataFrame:
     """(g, exact, censored) of points (g, place, score, exact, censored), place from 0 in each group: sums over all
     points of exact points before them with a lower score, by exact and censored ones.
 
-    Blocks of a group are counted in memory.  Of two blocks the later one lies right of the other in exactly one node of
+    Blocks of a group are counted in memory, those of many small groups at once.  Of two blocks the later one lies right of the other in exactly one node of
     the binary tree over blocks, so each node's right half meets its left half once, in order of score.
     """
     blocks = points.withColumn("block", F.floor(F.col("place") / BLOCK))
     schema = "g string, exact decimal(38,0), censored decimal(38,0)"
 
-    def count(key, table):
-        table = table.sort_by("place")
+    def sums(table, starts):
         column = lambda c: table.column(c).to_numpy()
-        lower = dominated(column("score"), column("exact"))
-        sums = [sum(map(int, (lower * column(c)).tolist())) for c in ("exact", "censored")]
-        return pa.table({"g": pa.array([key[0].as_py()], pa.string()), **{c: pa.array([s], pa.decimal128(38, 0)) for c, s in zip(("exact", "censored"), sums)}})
-
-    inside = blocks.select("g", "block", "place", F.col("score").cast("double").alias("score"), "exact", "censored").groupBy("g", "block").applyInArrow(count, schema)
+        run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(table)]))
+        lower = dominated(column("score"), column("exact"), run)
+        out = {"g": table.column("g").take(pa.array(starts))}
+        for c in ("exact", "censored"):
+            weight = column(c)
+            if float(lower.max()) * float(weight.max()) * BLOCK >= 2.0**62:
+                lower, weight = lower.astype(object), weight.astype(object)
+            out[c] = pa.array(np.add.reduceat(lower * weight, starts).tolist(), pa.int64() if lower.dtype != object else pa.decimal128(38, 0)).cast(pa.decimal128(38, 0), safe=False)
+        return pa.table(out)
+
+    def count(batches):
+        # runs of one (g, block), many in a batch; the last one may go on in the next batch
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = (pa.concat_tables([rest, table]) if rest is not None else table).combine_chunks()
+            if not len(table):
+                continue
+            g, block = table.column("g"), table.column("block").to_numpy()
+            new = pc.not_equal(g.slice(1), g.slice(0, len(g) - 1)).to_numpy() | (block[1:] != block[:-1])
+            starts = np.r_[0, np.flatnonzero(new) + 1]
+            rest = table.slice(starts[-1])
+            if len(starts) > 1:
+                yield from sums(table.slice(0, starts[-1]), starts[:-1]).to_batches()
+        if rest is not None:
+            yield from sums(rest.combine_chunks(), np.array([0])).to_batches()
+
+    sorted_runs = blocks.select("g", "block", "place", F.col("score").cast("double").alias("score"), "exact", "censored").repartition("g", "block").sortWithinPartitions("g", "block", "place")
+    inside = sorted_runs.mapInArrow(count, schema)
     sizes = blocks.groupBy("g").agg(F.max("block").alias("last")).where("last > 0")
     level = F.explode(F.sequence(F.lit(0), F.ceil(F.log2(F.col("last") + 1)).cast("int") - 1))
     split = blocks.join(sizes, "g").withColumn("level", level)
