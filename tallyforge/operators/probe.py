@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import leakage_score, severity
 from .model import group_folds, stratified_folds
 
+#: Rows of one task of a fit.
+ROWS = 10_000
+
 
 def make_model(name: str, seed: int = 0):
     """A regressor by name; ``knn`` and the exact ridge are functions of ``model``."""
@@ -32,8 +35,15 @@ def make_model(name: str, seed: int = 0):
 
 
 def held_out_predictions(df: DataFrame, fold: str, features: str, target: str, name: str, seed: int = 0) -> DataFrame:
-    """``df`` (features: array of double) with ``prediction`` by a model of the other folds."""
-    ready = df.withColumns({"features": array_to_vector(F.col(features).cast("array<double>")), "target": F.col(target).cast("double")}).cache()
+    """``df`` (features: array of double) with ``prediction`` by a model of the other folds.
+
+    A model reads all rows in each of its hundreds of steps, so rows are spread over a task for every ``ROWS`` of them, however few files hold them.
+    """
+    ready = df.withColumns({"features": array_to_vector(F.col(features).cast("array<double>")), "target": F.col(target).cast("double")})
+    tasks = -(-ready.count() // ROWS)
+    if tasks > 1:
+        ready = ready.repartition(tasks)
+    ready = ready.cache()
     out = None
     for (f,) in sorted(ready.select(fold).distinct().collect()):  # as many as there are folds
         model = make_model(name, seed).fit(ready.where(F.col(fold) != f))

@@ -42,3 +42,15 @@ def test_rows_are_not_dealt_by_batch(spark):
     df = spark.range(400).selectExpr("id", "string(id % 3) AS b", "string(id % 5) AS g", "double(id % 17) AS x", "double(id % 23) AS y")
     plan = model.held_out_ridge(df, "b", "g", ["x"], "y")._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(_[bg]#\d+, \d+\)", plan) and plan.count("BroadcastHashJoin") == 2
+
+
+def test_fits_are_spread_over_tasks(spark, monkeypatch):
+    """Rows of one small file make several tasks, and every row is predicted once."""
+    from tallyforge.operators import probe
+
+    monkeypatch.setattr(probe, "ROWS", 20)
+    df = spark.range(90).selectExpr("id", "id % 3 AS fold", "array(double(id % 7), double(id % 5)) AS x", "double(id % 7 * 2 - id % 5) AS y").coalesce(1)
+    out = probe.held_out_predictions(df, "fold", "x", "y", "ridge")
+    assert out.rdd.getNumPartitions() == 3 * 5
+    rows = out.toPandas()
+    assert sorted(rows.id) == list(range(90)) and np.corrcoef(rows.y, rows.prediction)[0, 1] > 0.95
