@@ -44,6 +44,15 @@ def test_rows_are_not_dealt_by_batch(spark):
     assert not re.search(r"hashpartitioning\(_[bg]#\d+, \d+\)", plan) and plan.count("BroadcastHashJoin") == 2
 
 
+def test_heldout_ridge_sorts_and_deals_no_rows(spark):
+    """The query itself, three features and five alphas: neither join shuffles or sorts the rows of a batch into one task."""
+    from tallyforge.plans import queries
+
+    plan = queries.QUERIES["heldout_ridge"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"(hashpartitioning\(|Sort \[)_[bg]#\d+( ASC NULLS FIRST\]|, \d+\))", plan)
+    assert plan.count("BroadcastHashJoin") == 2  # the models meet the rows twice; models meet errors by batch in a small join
+
+
 def test_fits_are_spread_over_tasks(spark, monkeypatch):
     """Rows of one small file make several tasks, and every row is predicted once."""
     from tallyforge.operators import probe
